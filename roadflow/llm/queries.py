@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing, simhash, toxicity
+from . import decontaminate, lines, packing, pii, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,25 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The explicit rules of the URL query.
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS]
+    whole = pii.ordered(F.concat("spans", "added"))
+    return found.select("doc_id", *counts, F.sha2(pii.ordered(F.col("spans")), 256).alias("base_sha256"), whole.alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(found.fp).alias("fingerprint"), "component_id")
@@ -51,7 +66,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_url_filters": op1_url_filters,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_pii": op3_pii,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op9_line_dedup": op9_line_dedup,
