@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, lines, packing, pii, simhash, toxicity, urls
+from . import decontaminate, embeddings, lines, packing, pii, simhash, suffixes, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(found.fp).alias("fingerprint"), "component_id")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +79,7 @@ def queries() -> dict:
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_pii": op3_pii,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op9_line_dedup": op9_line_dedup,
