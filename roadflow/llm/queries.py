@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, lines, packing, pii, simhash, suffixes, toxicity, urls
+from . import decontaminate, embeddings, lines, lm, packing, pii, simhash, suffixes, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 9).alias("mean_log_score"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_counts(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ def queries() -> dict:
         "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_line_dedup": op9_line_dedup,
         "op10_toxicity": op10_toxicity,
     }
