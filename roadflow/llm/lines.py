@@ -6,8 +6,10 @@ removed, wherever that line stands; the earliest by (doc_id, line number) stays.
 Shorter lines always stay.
 
 Equal lines are one class, represented by its earliest occurrence.  Two lines
-within one edit share their first or last characters (the edit cannot touch
-both), so only classes that share such an end with another class are expanded.
+within one edit, the longer of M characters, agree in their first or in their
+last (M - 1) // 2 characters, and cut into ``BLOCKS`` they differ within one block
+at most; so only classes that share a half, and of those only classes that share
+all but a block, with another class are expanded.
 They emit their deletion neighbourhood as hashed keys: the line itself and the
 line without its i-th character, with i.  A substitution shows as the same
 deletion at the same i, an insertion or deletion as one line's deletion equal to
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 MIN_CHARS = 20
-#: Ends compared: lines of up to 49 characters share 9, lines of 49 and more 24.
-SHORT_END, LONG_END, TURN = 9, 24, 49
+#: Blocks of a line, of which two lines within one edit share all but one.
+BLOCKS = 8
 #: Documents (ids) that are broadcast, at most, to fetch the lines to expand.
 FEW = 1_000_000
 
@@ -70,15 +72,33 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, h1, h2, n, line)``: one row a line long enough, with a 128-bit hash of it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
     rows = rows.withColumn("n", F.char_length("line")).where(F.col("n") >= MIN_CHARS)
-    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.reverse("line")).alias("h2"), "n", "line")
+    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "n", "line")
 
 
-def _end_keys(line, n):
-    def both(size, tag):
-        return [F.xxhash64(F.lit(tag), F.left(line, F.lit(size))), F.xxhash64(F.lit(tag + 1), F.right(line, F.lit(size)))]
+def _halves(line, n):
+    """Hashed halves of a line, for partners that are no longer (M = n) and one longer (M = n + 1)."""
+    keys = []
+    for m in (n, n + 1):
+        half = ((m - 1) / 2).cast("int")
+        keys += [F.xxhash64(F.lit(0), m, F.left(line, half)), F.xxhash64(F.lit(1), m, F.right(line, half))]
+    return F.array(*keys)
 
-    short, long = F.array(*both(SHORT_END, 0)), F.array(*both(LONG_END, 2))
-    return F.when(n < TURN, short).when(n == TURN, F.concat(short, long)).otherwise(long)
+
+def _all_but_a_block(line, n):
+    """For each block and M: a hash of what stands before and after it."""
+    keys = []
+    for m in (n, n + 1):
+        for k in range(BLOCKS):
+            a, z = ((m * x / BLOCKS).cast("int") for x in (k, k + 1))
+            keys.append(F.xxhash64(F.lit(k), m, F.left(line, a), F.right(line, m - z)))
+    return F.array(*keys)
+
+
+def _shared(classes: DataFrame, keys) -> DataFrame:
+    """Rows of ``classes`` that share one of their ``keys`` with another class."""
+    own = classes.select("h1", "h2", F.explode(keys).alias("key")).distinct()
+    met = own.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    return own.join(met, "key").select("h1", "h2").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -90,12 +110,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     an empty table gives no rows.
     """
     occ = _occurrences(docs)
-    lean = materialise(occ.select("doc_id", "line_no", "h1", "h2", "n", _end_keys(F.col("line"), F.col("n")).alias("ends")), "lines")
+    lean = materialise(occ.select("doc_id", "line_no", "h1", "h2", "n", _halves(F.col("line"), F.col("n")).alias("halves")), "lines")
     pos = F.struct("doc_id", "line_no")
-    classes = materialise(lean.groupBy("h1", "h2").agg(F.min(pos).alias("first"), F.any_value("ends").alias("ends"), F.count("*").alias("copies")), "line-classes")
-    ends = classes.select("h1", "h2", "first", F.explode("ends").alias("end"))
-    shared = ends.groupBy("end").agg(F.count("*").alias("c")).where("c > 1").select("end")
-    near = materialise(ends.join(shared, "end").select("h1", "h2", "first").distinct(), "line-near")
+    classes = materialise(lean.groupBy("h1", "h2").agg(F.min(pos).alias("first"), F.any_value("halves").alias("halves"), F.count("*").alias("copies")), "line-classes")
+    near = materialise(classes.join(materialise(_shared(classes, F.col("halves")), "line-halves"), ["h1", "h2"]).select("h1", "h2", "first"), "line-near")
     verified = _earliest_neighbours(docs, near)
     beaten = materialise(verified.select("h1", "h2"), "line-beaten")
     repeated = classes.where("copies > 1").select("h1", "h2", "first")
@@ -115,6 +133,8 @@ def _earliest_neighbours(docs: DataFrame, near: DataFrame) -> DataFrame:
     texts = _occurrences(src).select("h1", "h2", "doc_id", "line_no", "line")
     texts = texts.join(near.select("h1", "h2", "first.*"), ["h1", "h2", "doc_id", "line_no"]).dropDuplicates(["h1", "h2"])
     texts = materialise(texts, "line-texts")
+    close = materialise(_shared(texts, _all_but_a_block(F.col("line"), F.char_length("line"))), "line-close")
+    texts = materialise(texts.join(close, ["h1", "h2"]).select("h1", "h2", "doc_id", "line_no", "line"), "line-texts")
 
     def expand(batches):
         table = powers(1024)
