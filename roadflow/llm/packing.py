@@ -145,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     shared = cut.sparkSession.sparkContext.broadcast(by_length)
     order = Window.partitionBy("length", "g").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = cut.withColumn("g", group).withColumn("r", F.row_number().over(order).cast("long") - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "g"]).withColumn("r", F.col("r") + F.col("before"))
+    ranked = ranked.join(before, ["length", "g"]).withColumn("r", F.col("r") + F.col("before"))
 
     def place(batches):
         table = shared.value
