@@ -30,8 +30,8 @@ from .common import materialise
 MIN_CHARS = 20
 #: Blocks of a line, of which two lines within one edit share all but one.
 BLOCKS = 8
-#: Documents (ids) that are broadcast, at most, to fetch the lines to expand.
-FEW = 1_000_000
+#: Line numbers that are broadcast with their documents' ids, at most; beyond it they are joined by shuffle.
+FEW = 2_000_000
 
 _B = 0xD1342543DE82EF95
 _INV = pow(_B, -1, 1 << 64)
@@ -70,9 +70,19 @@ def powers(n: int) -> np.ndarray:
 
 def _occurrences(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, h1, h2, n, line)``: one row a line long enough, with a 128-bit hash of it."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
     rows = rows.withColumn("n", F.char_length("line")).where(F.col("n") >= MIN_CHARS)
-    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "n", "line")
+    return rows.select("doc_id", "line_no", *_hashes(), "n", "line")
+
+
+def _hashes():
+    return F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
+
+
+def _with_lines(docs: DataFrame, table: DataFrame, column: str, how: str) -> DataFrame:
+    """``docs`` joined to ``table(doc_id, column)``, a list of line numbers for some of the documents."""
+    size = table.agg(F.coalesce(F.sum(F.size(column) + 4), F.lit(0))).first()[0]
+    return docs.join(F.broadcast(table) if size <= FEW else table, "doc_id", how)
 
 
 def _halves(line, n):
@@ -104,10 +114,9 @@ def _shared(classes: DataFrame, keys) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no)`` of the lines to remove; ``line_no`` counts from 0.
 
-    Null texts are empty; rows of a null doc_id come first in the order, as in an
-    ascending sort; rows that repeat a doc_id share one text's lines where the
-    texts agree, else the earlier line number counts; extra columns are ignored;
-    an empty table gives no rows.
+    Null texts are empty; rows with a null doc_id neither lose lines nor take any
+    from others; rows that repeat a doc_id lose the same line numbers; extra
+    columns are ignored; an empty table gives no rows.
     """
     occ = _occurrences(docs)
     lean = materialise(occ.select("doc_id", "line_no", "h1", "h2", "n", _halves(F.col("line"), F.col("n")).alias("halves")), "lines")
@@ -127,11 +136,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def _earliest_neighbours(docs: DataFrame, near: DataFrame) -> DataFrame:
     """``(h1, h2)`` of the classes in ``near`` that have a verified earlier neighbour."""
-    n = near.count()
-    own = near.select(F.col("first.doc_id").alias("doc_id")).distinct()
-    src = docs.select("doc_id", "text").join(F.broadcast(own) if n <= FEW else own, "doc_id", "left_semi")
-    texts = _occurrences(src).select("h1", "h2", "doc_id", "line_no", "line")
-    texts = texts.join(near.select("h1", "h2", "first.*"), ["h1", "h2", "doc_id", "line_no"]).dropDuplicates(["h1", "h2"])
+    # the lines are fetched from their documents by number: the texts aren't shuffled where the numbers are few
+    wanted = near.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.line_no").alias("wanted"))
+    src = _with_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), materialise(wanted, "line-wanted"), "wanted", "inner")
+    split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    rows = src.select("doc_id", "wanted", F.posexplode(split).alias("line_no", "line")).where(F.array_contains("wanted", F.col("line_no")))
+    texts = rows.select(*_hashes(), "line").join(near, ["h1", "h2"]).select("h1", "h2", "first.doc_id", "first.line_no", "line").dropDuplicates(["h1", "h2"])
     texts = materialise(texts, "line-texts")
     close = materialise(_shared(texts, _all_but_a_block(F.col("line"), F.char_length("line"))), "line-close")
     texts = materialise(texts.join(close, ["h1", "h2"]).select("h1", "h2", "doc_id", "line_no", "line"), "line-texts")
@@ -163,7 +173,7 @@ def _earliest_neighbours(docs: DataFrame, near: DataFrame) -> DataFrame:
     keys = keys.withColumn("less", F.min(F.when(F.col("at") >= 0, F.col("first"))).over(by_key))
     met = F.array(F.when(F.col("at") >= 0, F.col("same")), F.when(F.col("at") >= 0, F.col("whole")), F.when(F.col("at") == -1, F.col("less")))
     pairs = keys.select("h1", "h2", "first", F.explode(F.array_compact(met)).alias("other"))
-    pairs = pairs.where("other.doc_id < first.doc_id OR (other.doc_id IS NULL AND first.doc_id IS NOT NULL) OR (other.doc_id <=> first.doc_id AND other.line_no < first.line_no)")
+    pairs = pairs.where("other.doc_id < first.doc_id OR (other.doc_id = first.doc_id AND other.line_no < first.line_no)")
     pairs = pairs.groupBy("h1", "h2").agg(F.min("other").alias("other"))
     a = texts.select("h1", "h2", F.col("line").alias("a"))
     b = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("b"))
@@ -188,7 +198,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
     gone = materialise(gone, "line-docs")
-    out = docs.join(gone, "doc_id", "left")
+    out = _with_lines(docs, gone, "gone", "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
     out = out.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
     out = out.where("gone IS NULL OR exists(kept, x -> trim(x) <> '')")

@@ -425,6 +425,9 @@ def test_lines_are_brute_force(spark):
         else:
             assert (out[i].text or "") == "\n".join(kept) and (out[i].n_chars == len(out[i].text or ""))
     assert lines.line_counts(frame(spark, [])).count() == 0 and out[0].text is None
+    same = "one and the same line of a document"
+    odd = lines.line_counts(frame(spark, [same, same, same, same], [None, 4, 4, 6])).collect()
+    assert sorted((r.doc_id or 0, r.removed) for r in odd) == [(0, ""), (4, ""), (4, ""), (6, "0")]
 
 
 # -- 10 toxicity
