@@ -69,9 +69,11 @@ def candidates(pings: DataFrame, edges: DataFrame, radius: Column | float = RADI
     """
     pad_lat = max_radius / 111_000.0
     pad_lon = pad_lat / 0.7  # up to 45 degrees of latitude
-    cells = edges.select("u", "v", "k", "geom", F.explode(_box_cells(F.col("geom"), pad_lat, pad_lon)).alias("c")).select("u", "v", "k", "geom", "c.*")
+    lats, lons = F.transform("geom", lambda p: p["lat"]), F.transform("geom", lambda p: p["lon"])
+    box = [(f(x) + s * pad).alias(n) for f, x, s, pad, n in ((F.array_min, lats, -1, pad_lat, "_s"), (F.array_max, lats, 1, pad_lat, "_n"), (F.array_min, lons, -1, pad_lon, "_w"), (F.array_max, lons, 1, pad_lon, "_e"))]
+    cells = edges.select("u", "v", "k", "geom", *box, F.explode(_box_cells(F.col("geom"), pad_lat, pad_lon)).alias("c")).select("u", "v", "k", "geom", "_s", "_n", "_w", "_e", "c.*")
     p = pings.withColumn("cx", F.floor(F.col("lon") / CELL)).withColumn("cy", F.floor(F.col("lat") / CELL))
-    j = p.join(cells, ["cx", "cy"]).withColumn("p", geo.project(F.col("lat"), F.col("lon"), F.col("geom")))
+    j = p.join(cells, ["cx", "cy"]).where("lat BETWEEN _s AND _n AND lon BETWEEN _w AND _e").drop("_s", "_n", "_w", "_e").withColumn("p", geo.project(F.col("lat"), F.col("lon"), F.col("geom")))
     j = j.withColumn("dist_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("p.lat"), F.col("p.lon")))
     r = F.lit(float(radius)) if isinstance(radius, int | float) else radius
     j = j.where(F.col("dist_m") <= r).withColumn("proj_lat", F.col("p.lat")).withColumn("proj_lon", F.col("p.lon"))

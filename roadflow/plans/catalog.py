@@ -272,8 +272,7 @@ def default_fill(s, d):
 
 @query
 def merge_speeds(s, d):
-    even = speeds.aggregate(_obs(s, d).where("u % 2 = 0"))
-    return r6(speeds.merge(even, _obs(s, d, False)), "speed")
+    return r6(speeds.merge(_speeds(s, d), _obs(s, d, False)), "speed")
 
 
 @query
@@ -339,15 +338,13 @@ def hour_speed_pivot(s, d):
 
 @query
 def hour_speed_enrich(s, d):
-    known = features.vehicle_stats(_vpairs(s, d)).where("vehicle_id % 3 <> 0").select("vehicle_id", "v_median_speed_ms")
+    known = features.vehicle_stats(_vpairs(s, d)).select("vehicle_id", "v_median_speed_ms")
     return r6(features.enrich_hours(known, _pings(s, d)), "v_median_speed_ms", *features.HOURS)
 
 
 @query
 def vehicle_join(s, d):
-    p = _pings(s, d).where("vehicle_id % 4 <> 0")
-    m = _matched(s, d).where("vehicle_id % 4 <> 0")
-    f = features.vehicle_features(m, p, adapters.edges(s))
+    f = files.spill(features.vehicle_features(_matched(s, d), _pings(s, d), adapters.edges(s)))
     rows = trips.basic_features(_trips(s, d)).select("vehicle_id", "grp", "hour")
     return r6(features.join_vehicles(rows, f), *[c for c in features.VEHICLE if c != "v_hour_dominant"], "v_hour_speed_at_src")
 
@@ -363,15 +360,13 @@ def weather_fill(s, d):
 
 @query
 def weather_join(s, d):
-    w = _weather(s, d).where("timestamp_hour div 3600 % 5 <> 0")
     rows = _trips(s, d).select("vehicle_id", "grp", "source_time")
-    return r6(features.join_weather(rows, w), "temp_c", "precip_mm", "wind_kph")
+    return r6(features.join_weather(rows, _weather(s, d)), "temp_c", "precip_mm", "wind_kph")
 
 
 @query
 def weather_hit_rate(s, d):
-    w = adapters.weather(adapters.table(s, d, "events")).where("timestamp_hour div 3600 % 5 <> 0")
-    return r6(features.weather_hit_rate(_trips(s, d), w), "hit_rate", digits=9)
+    return r6(features.weather_hit_rate(_trips(s, d), adapters.weather(adapters.table(s, d, "events"))), "hit_rate", digits=9)
 
 
 @query

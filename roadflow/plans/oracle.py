@@ -230,7 +230,7 @@ SELECT vehicle_id, a::INT AS a, b::INT AS b, source_time, {r("(dest_time - sourc
         "speeds",
     ),
     "merge_speeds": _sql(
-        f"SELECT u, v, k, date, bin, {r('median(speed)')} AS speed FROM (SELECT u, v, k, date, bin, speed FROM speeds WHERE u % 2 = 0 UNION ALL SELECT u, v, k, date, bin, speed FROM (SELECT *, unnest(range(weight)) FROM obs_nocap)) GROUP BY u, v, k, date, bin",
+        f"SELECT u, v, k, date, bin, {r('median(speed)')} AS speed FROM (SELECT u, v, k, date, bin, speed FROM speeds UNION ALL SELECT u, v, k, date, bin, speed FROM (SELECT *, unnest(range(weight)) FROM obs_nocap)) GROUP BY u, v, k, date, bin",
         "speeds",
         "obs_nocap",
     ),
@@ -260,19 +260,19 @@ FROM (SELECT median(dist_m) AS med, quantile_cont(dist_m, 0.9) AS p90, count(*)
     ),
     "hour_speed_pivot": _sql(f"SELECT vehicle_id, {_HOURS} FROM vpairs GROUP BY vehicle_id", "vpairs"),
     "hour_speed_enrich": _sql(
-        f"SELECT s.vehicle_id, {r('s.v_median_speed_ms')} AS v_median_speed_ms, {_ENRICHED} FROM vstats s LEFT JOIN (SELECT vehicle_id, median(speed_ms) AS hall, " + ", ".join(f"median(speed_ms) FILTER ({_HOUR.format('ts')} = {h}) AS h{h}" for h in range(24)) + " FROM raw_pairs GROUP BY vehicle_id) p ON s.vehicle_id = p.vehicle_id WHERE s.vehicle_id % 3 <> 0",
+        f"SELECT s.vehicle_id, {r('s.v_median_speed_ms')} AS v_median_speed_ms, {_ENRICHED} FROM vstats s LEFT JOIN (SELECT vehicle_id, median(speed_ms) AS hall, " + ", ".join(f"median(speed_ms) FILTER ({_HOUR.format('ts')} = {h}) AS h{h}" for h in range(24)) + " FROM raw_pairs GROUP BY vehicle_id) p ON s.vehicle_id = p.vehicle_id",
         "vstats",
         "raw_pairs",
     ),
     "weather_fill": _sql(f"SELECT timestamp_hour, {r('temp_c')} AS temp_c, {r('precip_mm')} AS precip_mm, {r('wind_kph')} AS wind_kph, condition FROM weather", "weather"),
     "weather_join": _sql(
-        f""", w AS (SELECT * FROM weather WHERE timestamp_hour // 3600 % 5 <> 0)
+        f""", w AS (SELECT * FROM weather)
 SELECT t.vehicle_id, t.grp, t.source_time, {r("coalesce(w.temp_c, (SELECT median(temp_c) FROM w))")} AS temp_c, {r("coalesce(w.precip_mm, (SELECT median(precip_mm) FROM w))")} AS precip_mm, {r("coalesce(w.wind_kph, (SELECT median(wind_kph) FROM w))")} AS wind_kph, coalesce(w.condition, '0') AS condition, CASE WHEN coalesce(w.precip_mm, (SELECT median(precip_mm) FROM w)) > 0.1 THEN 1 ELSE 0 END AS weather_is_rain
 FROM trips t LEFT JOIN w ON t.source_time - t.source_time % 3600 = w.timestamp_hour""",
         "trips",
         "weather",
     ).replace("\n, w AS", ", w AS"),
-    "weather_hit_rate": _sql(f"SELECT count(*) AS n_rows, {r('avg(CASE WHEN w.timestamp_hour IS NOT NULL THEN 1.0 ELSE 0.0 END)', 9)} AS hit_rate FROM trips t LEFT JOIN (SELECT * FROM weather_raw WHERE timestamp_hour // 3600 % 5 <> 0) w ON t.source_time - t.source_time % 3600 = w.timestamp_hour", "trips", "weather_raw"),
+    "weather_hit_rate": _sql(f"SELECT count(*) AS n_rows, {r('avg(CASE WHEN w.timestamp_hour IS NOT NULL THEN 1.0 ELSE 0.0 END)', 9)} AS hit_rate FROM trips t LEFT JOIN weather_raw w ON t.source_time - t.source_time % 3600 = w.timestamp_hour", "trips", "weather_raw"),
     "hist_medians": _sql(
         f"SELECT CASE WHEN grouping(src_cluster) = 0 AND grouping(hour) = 0 THEN 'od_hour' WHEN grouping(src_cluster) = 0 THEN 'od' WHEN grouping(hour) = 0 THEN 'hour' ELSE 'all' END AS grain, coalesce(src_cluster, -1) AS src_cluster, coalesce(dst_cluster, -1) AS dst_cluster, coalesce(hour, -1) AS hour, {r('median(duration_min)')} AS median_min, count(*) AS n FROM (SELECT src_cluster AS src_cluster, dst_cluster, hour, duration_min FROM labelled) GROUP BY GROUPING SETS ((src_cluster, dst_cluster, hour), (src_cluster, dst_cluster), (hour), ())",
         "labelled",

@@ -1 +1 @@
-
+"""Readers, writers and adapter views."""

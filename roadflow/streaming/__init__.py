@@ -1 +1 @@
-
+"""Reserved for streaming twins; the engine's sources are batch tables."""
