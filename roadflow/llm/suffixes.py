@@ -9,7 +9,8 @@ also starts in a document with a smaller doc_id.
    earlier and needs no sorting.  Runs of windows with one key form a segment.
 2. Segments whose key occurs in several documents are dealt by key, so that all
    occurrences of a window meet in one task, whatever the corpus.
-3. Each task sorts the suffixes of its segments by the difference-cover method
+3. A key with a single segment text repeats it whole.  Of all others, each task
+   sorts the suffixes by the difference-cover method
    (positions not divisible by three: sort triples, name them, recurse on the
    names until they are distinct or span the width; order the rest by one symbol
    and a name; merge), then compares the prefixes of adjacent suffixes.  A class
@@ -34,7 +35,7 @@ WIDTH, GRAM = 50, 20
 #: Segments of one key that are sorted in one task, at most.
 HOT = 50_000
 #: Bytes of segments that are sorted at once (a task works through its keys in such chunks).
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 #: Keys (8 bytes each) that are broadcast, at most; beyond it each document is sent its own keys by shuffle.
 FEW_KEYS = 8_000_000
 #: Bytes of removed runs that are broadcast, at most; beyond it they are joined by shuffle.
@@ -246,44 +247,66 @@ def _sorted_cuts(segments: DataFrame) -> DataFrame:
     """Removed byte runs from suffix-sorting each task's segments, a chunk of whole keys at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        seen: dict[bytes, int] = {}
-        kept: list[bytes] = []
+        kept: list[bytes] = []  # the chunk: distinct segments, their smallest doc_id, and (doc_id, tag, start, segment)
         first: list[int] = []
-        rows: list[list] = [[], [], [], []]
+        rows: list[tuple] = []
+        cuts: list[tuple] = []
         size, last = 0, None
-
-        def flush():
+        seen: dict[bytes, int] = {}  # the same for the current key
+        low: list[int] = []
+        own: list[tuple] = []
+
+        def end_of_key() -> int:
+            if len(low) == 1:  # one string wherever the key occurs: nothing to sort
+                for d, t, s, seg in own:
+                    if d > low[0]:
+                        cuts.append((d, t, s, s + len(seg)))
+                return 0
+            base = len(kept)
+            kept.extend(seen)
+            first.extend(low)
+            rows.extend((d, t, s, base + seen[seg]) for d, t, s, seg in own)
+            return sum(map(len, seen))
+
+        def flush() -> None:
             if kept:
                 lows = repeats(kept, np.array(first, np.int64))
-                out = [[], [], [], []]
-                for d, t, s, k in zip(*rows, strict=True):
+                for d, t, s, k in rows:
                     gone = np.flatnonzero(lows[k] < d)
                     if len(gone):
                         cut = np.flatnonzero(np.diff(gone) > WIDTH)
                         for a, z in zip(gone[np.append(0, cut + 1)].tolist(), gone[np.append(cut, len(gone) - 1)].tolist(), strict=True):
-                            for c, x in zip(out, (d, t, s + a, s + z + WIDTH), strict=True):
-                                c.append(x)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "tag", "s", "e"])
+                            cuts.append((d, t, s + a, s + z + WIDTH))
+            for x in (kept, first, rows):
+                x.clear()
+
+        def out() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*cuts, strict=True)], names=["doc_id", "tag", "s", "e"])
+            cuts.clear()
+            return b
 
         for batch in batches:
             for key, d, t, s, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != last:
-                    if size > CHUNK:
-                        yield from flush()
-                        kept, first, rows, size = [], [], [[], [], [], []], 0
-                    seen, last = {}, key  # windows of different keys differ
-                k = seen.get(seg)
-                if k is None:
-                    k = seen[seg] = len(kept)
-                    kept.append(seg)
-                    first.append(d)
-                    size += len(seg)
-                elif d < first[k]:
-                    first[k] = d
-                for c, x in zip(rows, (d, t, s, k), strict=True):
-                    c.append(x)
-        yield from flush()
+                    if last is not None:
+                        size += end_of_key()
+                        if size > CHUNK:
+                            flush()
+                            size = 0
+                        if len(cuts) > 100_000:
+                            yield out()
+                    seen, low, own, last = {}, [], [], key  # windows of different keys differ
+                k = seen.setdefault(seg, len(low))
+                if k == len(low):
+                    low.append(d)
+                elif d < low[k]:
+                    low[k] = d
+                own.append((d, t, s, seg))
+        if last is not None:
+            end_of_key()
+        flush()
+        if cuts:
+            yield out()
 
     n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return segments.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, _CUT)
