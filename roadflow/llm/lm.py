@@ -30,7 +30,7 @@ from .common import materialise
 ALPHA = 0.4
 ORDER = 2
 #: Bytes of text in a batch (the last one of a partition may be smaller).
-BATCH_BYTES = 24_000_000
+BATCH_BYTES = 10_000_000
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,7 +38,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Words:
     """64-bit hashes of the lower-cased words of a text; remembers words up to a bound."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         self.known: dict[str, int] = {}
         self.most = most
 
