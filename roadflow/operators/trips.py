@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from ..constants import TRIP_GAP_S, TRIP_MAX_S, TRIP_MIN_POINTS, TRIP_MIN_S
 from ..functions import clock, geo
 
-_BY_VEHICLE = Window.partitionBy("vehicle_id").orderBy("ts", "seq")
+
+
+def _by_vehicle():
+    return Window.partitionBy("vehicle_id").orderBy("ts", "seq")
 
 
 def prefix(pings: DataFrame, cap: int, min_points: int = TRIP_MIN_POINTS) -> DataFrame:
     """The first ``cap`` pings of vehicles with at least ``min_points``."""
     n = F.count("*").over(Window.partitionBy("vehicle_id"))
-    p = pings.withColumn("_n", n).withColumn("_r", F.row_number().over(_BY_VEHICLE))
+    p = pings.withColumn("_n", n).withColumn("_r", F.row_number().over(_by_vehicle()))
     return p.where((F.col("_n") >= min_points) & (F.col("_r") <= cap)).drop("_n", "_r")
 
 
@@ -38,16 +41,16 @@ def _bounds(runs: DataFrame, min_points: int) -> DataFrame:
 
 def flag_runs(pings: DataFrame) -> DataFrame:
     """Pings of occupied runs with ``grp``: from a flag of 1 to the last ping before a flag of 0; other flags neither start nor end one."""
-    p = pings.withColumn("grp", F.sum((F.col("flag") == 0).cast("long")).over(_BY_VEHICLE.rowsBetween(Window.unboundedPreceding, 0)))
+    p = pings.withColumn("grp", F.sum((F.col("flag") == 0).cast("long")).over(_by_vehicle().rowsBetween(Window.unboundedPreceding, 0)))
     seen = F.max((F.col("flag") == 1).cast("int")).over(Window.partitionBy("vehicle_id", "grp").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0))
     return p.withColumn("_in", seen).where("_in = 1 AND flag <> 0").drop("_in")
 
 
 def gap_runs(pings: DataFrame, gap_s: int = TRIP_GAP_S) -> DataFrame:
     """All pings with ``grp``: a new one begins where more than ``gap_s`` seconds passed."""
-    late = (F.col("ts") - F.lag("ts").over(_BY_VEHICLE) > gap_s).cast("long")
+    late = (F.col("ts") - F.lag("ts").over(_by_vehicle()) > gap_s).cast("long")
     p = pings.withColumn("_late", F.coalesce(late, F.lit(0).cast("long")))
-    return p.withColumn("grp", F.sum("_late").over(_BY_VEHICLE.rowsBetween(Window.unboundedPreceding, 0))).drop("_late")
+    return p.withColumn("grp", F.sum("_late").over(_by_vehicle().rowsBetween(Window.unboundedPreceding, 0))).drop("_late")
 
 
 def in_band(trips: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ def prefix_samples(pings: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
 def validation_pairs(pings: DataFrame, per_vehicle: int = 8, seed: int = 42, min_points: int = 20, min_m: float = 100.0) -> DataFrame:
     """Synthetic validation trips: interior start points in the first 90 % of a vehicle's pings, each with one later end within the duration band, picked by an integer hash."""
     w = Window.partitionBy("vehicle_id")
-    p = pings.withColumn("idx", F.row_number().over(_BY_VEHICLE) - 1).withColumn("n", F.count("*").over(w)).where(F.col("n") >= min_points)
+    p = pings.withColumn("idx", F.row_number().over(_by_vehicle()) - 1).withColumn("n", F.count("*").over(w)).where(F.col("n") >= min_points)
     a = p.where(F.col("idx") < F.floor(F.col("n") * 9 / 10)).select("vehicle_id", F.col("idx").alias("a"), F.col("lat").alias("source_lat"), F.col("lon").alias("source_lon"), F.col("ts").alias("source_time"))
     b = p.select("vehicle_id", F.col("idx").alias("b"), F.col("lat").alias("dest_lat"), F.col("lon").alias("dest_lon"), F.col("ts").alias("dest_time"))
     late = F.col("dest_time") - F.col("source_time")
