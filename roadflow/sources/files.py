@@ -73,7 +73,7 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     data = "data ARRAY<STRUCT<_VALUE: STRING, _key: STRING>>"
 
     def value(name: str, kind: str):
-        return F.element_at(F.filter("data", lambda x: x["_key"] == keys.get((name, kind), "")), 1)["_VALUE"] if (name, kind) in keys else F.lit(None).cast("string")
+        return F.get(F.filter("data", lambda x: x["_key"] == keys.get((name, kind), "")), F.lit(0))["_VALUE"] if (name, kind) in keys else F.lit(None).cast("string")
 
     n = spark.read.format("xml").option("rowTag", "node").schema(f"_id STRING, {data}").load(path)
     nodes = n.select(F.col("_id").cast("long").alias("node_id"), value("y", "node").cast("double").alias("lat"), value("x", "node").cast("double").alias("lon"))

