@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_CAP_MS, HOPS, MAX_SPEED_MS, OBSERVED_BOOST, SPEED_CAP_MS
 from ..functions import clock, geo
+from ..sources.files import spill
 from .network import adjacency, default_speed, lookup
 
 EDGE = ["u", "v", "k"]
@@ -110,10 +111,11 @@ def propagate(observed: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFr
     A hop's decay would multiply all weights of a weighted mean alike, so it
     cancels and is left out.  Each round reads the values before it.
     """
-    near = neighbours(edges)
-    known = observed.select(*KEY, "speed", F.lit(True).alias("observed"))
-    for _ in range(hops):
+    near = spill(neighbours(edges))
+    known = spill(observed.select(*KEY, "speed", F.lit(True).alias("observed")))
+    for hop in range(hops):  # a hop reads what is known twice, so it is written between hops
         known = known.unionByName(propagate_hop(known, near).withColumn("observed", F.lit(False)))
+        known = spill(known) if hop < hops - 1 else known
     return known.select(*KEY, "speed", F.when(F.col("observed"), "observed").otherwise("propagated").alias("origin"))
 
 

@@ -255,7 +255,7 @@ def tod_median(s, d):
 @query
 def propagate_hop(s, d):
     e = adapters.edges(s)
-    return r6(speeds.propagate_hop(_speeds(s, d).withColumn("observed", F.lit(True)), speeds.neighbours(e)), "speed")
+    return r6(speeds.propagate_hop(_stored_speeds(s, d).withColumn("observed", F.lit(True)), speeds.neighbours(e)), "speed")
 
 
 @query
@@ -266,7 +266,7 @@ def propagate(s, d):
 @query
 def default_fill(s, d):
     e = adapters.edges(s)
-    known = _speeds(s, d).select(*speeds.KEY, "speed", F.lit("observed").alias("origin"))
+    known = _stored_speeds(s, d).select(*speeds.KEY, "speed", F.lit("observed").alias("origin"))
     return r6(speeds.default_fill(known, e), "speed")
 
 
@@ -277,7 +277,7 @@ def merge_speeds(s, d):
 
 @query
 def speed_lookup(s, d):
-    t = _speeds(s, d)
+    t = _stored_speeds(s, d)
     wanted = t.select("u", "v", "k", F.when(F.pmod("u", F.lit(2)) == 0, F.col("date")).otherwise(F.lit("1999-01-01")).alias("date"), "bin").distinct()
     return r6(speeds.look_up(wanted, t), "speed")
 
