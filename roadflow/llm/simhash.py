@@ -13,10 +13,17 @@ is posted under itself and its sixteen one-bit neighbours and is linked to the
 smallest member met there.  That emits a number of links linear in the members
 (never all pairs), each link is verified (shared bytes, then differing bits), and
 the links connect exactly what all qualifying pairs would connect.
+
+``keep_one_each`` asks for more than fingerprints can promise: all documents whose
+sets of word shingles have a Jaccard similarity of at least ``SIMILARITY``.  Two
+such sets differ in at most k shingles (k follows from their sizes), so of more
+than k parts that the shingles are dealt to by hash, one at least is the same in
+both.  Sets meet where they share such a part and are verified by their shingles.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import combinations
 
 import numpy as np
@@ -25,9 +32,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise
+from .decontaminate import window_hashes
 
 MAX_BITS = 2
 MIN_MATCHES = 8 - MAX_BITS
+#: Words of a shingle and least Jaccard similarity of near copies; MAX_BITS belongs to the fingerprints alone.
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Rounds that link the sets of a part to one of them, before all pairs not yet connected are compared.
+LEADERS = 3
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint_bytes(text: str | None, n: int = 3, seed: int = 42) -> bytes:
@@ -121,11 +135,153 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one_each(docs: DataFrame) -> DataFrame:
+def shingles(text: str | None, n: int = SHINGLE, cache: dict | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; fewer than ``n`` words form one shingle, none give none."""
+    if cache is not None and len(cache) > 100_000:  # less than window_hashes allows itself
+        cache.clear()
+    return np.unique(window_hashes((text or "").encode().lower().split(), n, cache).view(np.uint64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def size_levels(similarity: float) -> list[int]:
+    """The largest set size of each level; similar sets are on the same or on neighbouring levels."""
+    out, low = [], 1
+    while low < 1 << 40:
+        out.append(int(low / similarity + 1e-9))
+        low = out[-1] + 1
+    return out
+
+
+def signatures(hashes: np.ndarray, similarity: float, levels: list[int]) -> np.ndarray:
+    """Signed 64-bit hashes of the set's parts; sets of at least ``similarity`` have one in common.
+
+    A set is posted on its own level and on the next.  On a level two similar
+    sets differ in at most k shingles, so at least m - k of its m parts agree;
+    empty parts are posted only by sets that have no more than k others.
+    """
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    out, x = [], _mixed(hashes)
+    own = bisect_left(levels, len(hashes))
+    for level in (own, own + 1):
+        k = int(2 * levels[level] * (1 - similarity) / (1 + similarity) + 1e-9)
+        m = k + 1 + (k * 3 // 20 + 6 if k else 0)
+        part = (x >> np.uint64(20)) % np.uint64(m)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        at, sums = part[starts], np.add.reduceat(_mixed(x[order]), starts)
+        if len(at) <= k:
+            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
+            at, sums = np.append(at, empty), np.append(sums, np.zeros(len(empty), np.uint64))
+        out.append(_mixed(sums ^ _mixed(at * np.uint64(64) + np.uint64(level + 1))))
+    return np.concatenate(out).view(np.int64)
+
+
+def _verified(pairs: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
+    """Of the pairs of sets ``(u, v)`` those of at least ``similarity``."""
+    u = hashes.select(F.col("key").alias("u"), F.col("hashes").alias("a"))
+    v = hashes.select(F.col("key").alias("v"), F.col("hashes").alias("b"))
+
+    def run(batches):
+        for b in batches:
+            fine = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                fine.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(fine, pa.bool_()))
+
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def near_copies(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, component_id)`` for the rows of ``docs`` with an id.
+
+    ``component_id`` is the smallest doc_id reachable over documents whose sets
+    of ``n``-word shingles have a Jaccard similarity of at least ``similarity``.
+    Null, empty and blank texts are copies of each other.
+    """
+    levels = size_levels(similarity)
+    src = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def post(batches):
+        import xxhash
+
+        cache: dict = {}
+        for b in batches:
+            for start in range(0, b.num_rows, 1000):
+                part = b.slice(start, 1000)
+                sets = [shingles(t.as_py(), n, cache) for t in part.column(1)]
+                keys = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+                posts = [signatures(h, similarity, levels) for h in sets]
+                ends = np.cumsum([0, *map(len, posts)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(posts), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([len(h) for h in sets], pa.int64()), lists], names=["doc_id", "key", "size", "posts"])
+
+    sets = materialise(src.mapInArrow(post, "doc_id long, key long, size long, posts array<long>"), "near-sets")
+    classes = materialise(sets.groupBy("key").agg(F.min("doc_id").alias("first_id")), "near-classes")
+    by_post = Window.partitionBy("post")
+    posts = sets.select("key", "size", F.explode("posts").alias("post"))
+    posts = posts.withColumn("low", F.min("key").over(by_post)).withColumn("high", F.max("key").over(by_post)).where("low < high")
+    posts = materialise(posts.select("key", "size", "post").distinct(), "near-posts")
+
+    def expand(batches):
+        import xxhash
+
+        cache: dict = {}
+        for b in batches:
+            found = [shingles(t.as_py(), n, cache).tobytes() for t in b.column(1)]
+            same = [xxhash.xxh3_64_intdigest(h) == k % (1 << 64) for h, k in zip(found, b.column(0).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["key", "hashes"]).filter(pa.array(same, pa.bool_()))
+
+    wanted = posts.select("key").distinct().join(classes, "key").select("key", F.col("first_id").alias("doc_id"))
+    # a repeated doc_id may have other texts, which expand leaves out
+    rows = src.join(wanted, "doc_id").select("key", "text")
+    hashes = materialise(rows.mapInArrow(expand, "key long, hashes binary").dropDuplicates(["key"]), "near-hashes")
+    found = comps = tried = None
+    for k in range(LEADERS + 1):
+        if comps is not None:
+            posts = posts.select("key", "size", "post").join(comps, posts.key == comps.node, "left").withColumn("comp", F.coalesce("component", "key")).drop("node", "component")
+        else:
+            posts = posts.withColumn("comp", F.col("key"))
+        posts = posts.withColumn("low", F.min("comp").over(by_post)).withColumn("high", F.max("comp").over(by_post)).where("low < high")
+        posts = materialise(posts.select("key", "size", "post", "comp"), "near-posts")
+        if posts.isEmpty():
+            break
+        if k < LEADERS:
+            lead = F.min(F.struct(F.xxhash64("key", F.lit(k)), "key", "size", "comp")).over(by_post)
+            pairs = posts.withColumn("lead", lead).select("key", "size", "comp", F.col("lead.key").alias("key2"), F.col("lead.size").alias("size2"), F.col("lead.comp").alias("comp2"))
+        else:
+            other = posts.select("post", F.col("key").alias("key2"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
+            pairs = posts.join(other, "post").where("key < key2")
+        pairs = pairs.where((F.col("comp") != F.col("comp2")) & (F.least("size", "size2") >= F.lit(similarity - 1e-9) * F.greatest("size", "size2")))
+        pairs = pairs.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "near-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        linked = materialise(_verified(pairs, hashes, similarity), "near-links")
+        found = linked if found is None else found.unionByName(linked)
+        comps = materialise(connected_components(found, "near-cc"), "near-cc")
+    if comps is None:
+        named = classes.withColumn("root", F.col("key"))
+    else:
+        named = classes.join(comps, classes.key == comps.node, "left").withColumn("root", F.coalesce("component", "key"))
+    named = materialise(named.select("key", "root", "first_id"), "near-root")
+    lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    table = materialise(named.join(lowest, "root").select("key", "component_id"), "near-class")
+    return sets.select("doc_id", "key").join(table, "key").select("doc_id", "component_id")
+
+
+def keep_one_each(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the documents whose near-duplicate group holds a smaller doc_id.
 
-    Rows that repeat one doc_id count as one document and stay or go together;
-    rows with a null doc_id stay.
+    Near duplicates are those of ``near_copies``.  Rows that repeat one doc_id
+    count as one document and stay or go together; rows with a null doc_id stay.
     """
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = near_copies(docs, n, similarity).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(materialise(gone, "simhash-gone"), "doc_id", "left_anti").select(*docs.columns)

@@ -210,6 +210,34 @@ def test_simhash_edges(spark):
     assert sorted(r.doc_id for r in kept) == [3, 5, 8]
 
 
+def test_near_copies_are_brute_force(spark):
+    rng = random.Random(8)
+    texts = [None, "", " \n", "one two", "One TWO", "a b c d e f g h", "a b c d e f g h i"]
+    for size in (12, 40, 150, 600):
+        for _ in range(4):
+            base = [rng.choice(WORDS) + str(rng.randint(0, 400)) for _ in range(size)]
+            texts.append(" ".join(base))
+            for edits in (1, 1, 2, 4, 8):
+                new = list(base)
+                for at in rng.sample(range(size), edits):
+                    new[at] = f"edit{rng.randint(0, 9999)}"
+                texts.append(" ".join(new[: size - edits // 2]))
+    rng.shuffle(texts)
+
+    def cut(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [cut(t) for t in texts]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = union_find(len(texts), pairs)
+    assert len(pairs) > 30
+    got = simhash.near_copies(frame(spark, texts))
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(want))
+    assert {r.doc_id for r in simhash.keep_one_each(frame(spark, texts)).collect()} == set(want)
+    assert simhash.keep_one_each(frame(spark, [])).count() == 0
+
+
 # -- 5 repeated strings
 
 
