@@ -7,18 +7,21 @@ document is contaminated by an item when at least ``share`` of the item's
 distinct windows occur in it and the placeholders are filled consistently: each
 value of the item always meets one value of the document and the other way
 round, so the same question with other numbers, names or units is caught, while
-unrelated text that merely has the same shape is not.
+unrelated text that merely has the same shape is not.  Where a window occurs
+several times, every alignment of item and document is tried.  A capitalised word
+that begins a sentence may be a name or not: it is read both ways.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -40,16 +43,17 @@ _SIGN = frozenset("%$€£°")
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 
-def template(text: str | None) -> tuple[list[str], list[str | None]]:
-    """Template tokens and, beside each, the value that its placeholder stands for (None for plain words).
+def template(text: str | None) -> tuple[list[str], list[str | None], list[int]]:
+    """Template tokens, beside each the value that its placeholder stands for (None for plain words), and the places of words that may be names.
 
     A number is digits with inner points or commas; a unit is a known unit word
     or sign right after (a currency sign: right before) a number; a name is a
     capitalised word with lower-case letters that neither begins a sentence or
-    line nor follows a token that does.
+    line nor follows a token that does; one that does is a plain word that may be a name.
     """
     out: list[str] = []
     values: list[str | None] = []
+    heads: list[int] = []
     begins, number = True, False
     for tok in _TOKEN.findall(text or ""):
         if tok in _END:
@@ -70,20 +74,24 @@ def template(text: str | None) -> tuple[list[str], list[str | None]]:
         if number and low in UNITS:
             out.append(UNIT)
             values.append(low)
-        elif not begins and tok[0].isupper() and not tok.isupper() and len(tok) > 1:
-            out.append(NAME)
-            values.append(low)
+        elif tok[0].isupper() and not tok.isupper() and len(tok) > 1:
+            if begins:
+                heads.append(len(out))
+            out.append(low if begins else NAME)
+            values.append(None if begins else low)
         else:
             out.append(low)
             values.append(None)
         number = begins = False
-    return out, values
+    return out, values, heads
 
 
 def window_hashes(tokens: list[str], width: int, cache: dict[str, int] | None = None) -> np.ndarray:
     """Signed 64-bit hashes of all windows; fewer tokens than ``width`` make one window, none make none."""
-    if not tokens:
-        return np.empty(0, np.int64)
+    return _hashes(_codes(tokens, cache), width)
+
+
+def _codes(tokens: list[str], cache: dict[str, int] | None = None) -> np.ndarray:
     cache = {} if cache is None else cache
     codes = list(map(cache.get, tokens))
     if None in codes:
@@ -92,7 +100,12 @@ def window_hashes(tokens: list[str], width: int, cache: dict[str, int] | None =
         for k, c in enumerate(codes):
             if c is None:
                 codes[k] = cache[tokens[k]] = xxhash.xxh64_intdigest(tokens[k], 11)
-    a = np.array(codes, np.uint64)
+    return np.array(codes, np.uint64)
+
+
+def _hashes(a: np.ndarray, width: int) -> np.ndarray:
+    if not len(a):
+        return np.empty(0, np.int64)
     width = min(width, len(a))
     h = np.zeros(len(a) - width + 1, np.uint64)
     for k in range(width):
@@ -101,48 +114,106 @@ def window_hashes(tokens: list[str], width: int, cache: dict[str, int] | None =
     return h.view(np.int64)
 
 
-_ROWS = "id long, h long, at int, slots string"
+_ROWS = "id long, h long, at int, slots string, key long, named int"
+_NAME_CODE = np.uint64(xxhash.xxh64_intdigest(NAME, 11))
 
 
 def _windows(df: DataFrame, id_col: str, text_col: str, width: int, block=None) -> DataFrame:
-    """``(id, h, at, slots)`` for each window of each row, or only those whose hash is in ``block`` (sorted, broadcast)."""
+    """``(id, h, at, slots, key, named)`` for each window of each row, or only those whose hash is in ``block`` (sorted, broadcast).
+
+    A window with words that may be names comes twice: as plain words, and with
+    ``named`` 1 as names.  ``key`` is its hash as plain words.
+    """
 
     def run(batches):
         keep = block.value if block is not None else None
         cache: dict[str, int] = {}
         for b in batches:
-            ids, hs, ats, slots = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                toks, vals = template(t.as_py())
-                h = window_hashes(toks, width, cache)
-                if not len(h):
-                    continue
-                if keep is not None:
-                    pos = np.minimum(np.searchsorted(keep, h), len(keep) - 1)
-                    at = np.flatnonzero(keep[pos] == h)
-                else:
-                    at = np.arange(len(h))
+            ids, hs, ats, slots, keys, named = [], [], [], [], [], []
+
+            def add(i, h, plain, at, vals, kind) -> None:
+                if keep is not None and len(at):
+                    mine = h[at]
+                    at = at[keep[np.minimum(np.searchsorted(keep, mine), len(keep) - 1)] == mine]
                 for k in at.tolist():
                     ids.append(i)
                     hs.append(int(h[k]))
                     ats.append(k)
                     slots.append("\x1f".join(v for v in vals[k : k + width] if v is not None))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(ats, pa.int32()), pa.array(slots, pa.string())], names=["id", "h", "at", "slots"])
+                    keys.append(int(plain[k]))
+                    named.append(kind)
+
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                toks, vals, heads = template(t.as_py())
+                codes = _codes(toks, cache)
+                h = _hashes(codes, width)
+                if not len(h):
+                    continue
+                add(i, h, h, np.arange(len(h)), vals, 0)
+                if heads:
+                    codes[heads] = _NAME_CODE
+                    other = _hashes(codes, width)
+                    for k in heads:
+                        vals[k] = toks[k]
+                    add(i, other, h, np.flatnonzero(other != h), vals, 1)
+            cols = ((ids, pa.int64()), (hs, pa.int64()), (ats, pa.int32()), (slots, pa.string()), (keys, pa.int64()), (named, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], names=["id", "h", "at", "slots", "key", "named"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, _ROWS)
 
 
-def _consistent(pairs: list[tuple[str, str]]) -> bool:
-    """Whether item values and document values correspond one to one over all matched windows."""
-    there, back = defaultdict(set), defaultdict(set)
-    for item, doc in pairs:
+def _aligned(chosen) -> tuple[set[int], bool] | None:
+    """The windows of an alignment and whether it is verbatim; None where item and document values do not correspond one to one."""
+    there, back, keys, same = {}, {}, set(), True
+    for key, item, doc in chosen:
+        keys.add(key)
+        same = same and item == doc
         a, b = item.split("\x1f") if item else [], doc.split("\x1f") if doc else []
         if len(a) != len(b):
-            return False
+            return None
         for x, y in zip(a, b, strict=True):
-            there[x].add(y)
-            back[y].add(x)
-    return all(len(v) == 1 for v in there.values()) and all(len(v) == 1 for v in back.values())
+            if there.setdefault(x, y) != y or back.setdefault(y, x) != x:
+                return None
+    return keys, same
+
+
+def _judge(matches: list[tuple[int, int, int, int, str, str]], least: float, positions: int) -> int:
+    """Of the matches ``(key, item place, document place, named, item values, document values)``: 0 no contamination, 1 with other values, 2 verbatim.
+
+    Alignments that are tried: every item window where it has the item's own
+    values, else at its first occurrence; and for each offset between item and
+    document that a match has, every item window at its occurrence next to that
+    offset, within one passage or wherever it is.  All windows of an alignment
+    must agree and make up ``least`` of the item's windows.
+    """
+    best = 0
+    for kinds in (0, 1):  # words that may be names: first as plain words only
+        places = defaultdict(dict)
+        for key, p, q, named, item, doc in sorted(matches, key=lambda m: (m[1], m[2], -m[3])):
+            if named <= kinds:
+                places[p][q] = (key, item, doc)  # plain words come last and replace the same words read as names
+        table = [(p, list(at), list(at.values())) for p, at in places.items()]
+        if len({c[0] for _, _, cs in table for c in cs}) < least:
+            continue
+        got = _aligned(next((c for c in cs if c[1] == c[2]), cs[0]) for _, _, cs in table)
+        if got and len(got[0]) >= least:
+            best = max(best, 2 if got[1] else 1)
+        slack = positions // 2
+        for d in sorted({q - p for p, qs, _ in table for q in qs}):
+            if best == 2:
+                return 2
+            near, far = [], []
+            for p, qs, cs in table:
+                k = bisect_left(qs, p + d)
+                if k == len(qs) or (k and p + d - qs[k - 1] <= qs[k] - p - d):
+                    k -= 1
+                (near if abs(qs[k] - p - d) <= slack else far).append(cs[k])
+            got = _aligned(near)
+            if got and len(got[0]) < least:
+                got = _aligned(near + far)
+            if got and len(got[0]) >= least:
+                best = max(best, 2 if got[1] else 1)
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
@@ -156,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shar
     """
     spark = docs.sparkSession
     items = materialise(_windows(benchmark.where("item_id IS NOT NULL"), "item_id", "text", width).withColumnRenamed("id", "item_id"), "bench")
-    keys = materialise(items.groupBy("h").agg(F.countDistinct("item_id").alias("n_items"), F.min("slots").alias("s")), "bench-keys")
+    keys = materialise(items.select("h").distinct(), "bench-keys")
     total = keys.count()
     found = None
     src = docs.where("doc_id IS NOT NULL")
@@ -170,22 +241,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shar
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, n_windows long, n_matched long, verbatim boolean")
-    # one row for each distinct filling of a window in a document, whatever its repeats
-    hits = materialise(found.groupBy(F.col("id").alias("doc_id"), "h", F.col("slots").alias("filled")).agg(F.min("at").alias("at")), "bench-hits")
-    sizes = items.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
-    item_keys = items.select("item_id", "h", "slots").distinct()
-    met = hits.join(item_keys, "h")
-    counts = met.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("n_matched")).join(sizes, "item_id")
+    hits = found.select(F.col("id").alias("doc_id"), "h", F.col("at").alias("q"), F.col("slots").alias("filled"), F.col("named").alias("read"))
+    hits = materialise(hits.distinct(), "bench-hits")
+    sizes = items.groupBy("item_id").agg(F.countDistinct("key").alias("n_windows"), F.countDistinct("at").alias("positions"))
+    item_keys = items.select("item_id", "h", "key", F.col("at").alias("p"), "slots", "named").distinct()
+    # of the places of an item's or document's window one is enough to count it
+    held = hits.select("doc_id", "h").distinct().join(item_keys.select("item_id", "h", "key").distinct(), "h")
+    counts = held.groupBy("doc_id", "item_id").agg(F.countDistinct("key").alias("n_matched")).join(sizes, "item_id")
     enough = materialise(counts.where(F.col("n_matched") >= F.lit(share) * F.col("n_windows")), "bench-enough")
-    pairs = met.join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"])
-    # among several fillings of one window the item's own comes first, then the earliest
-    best = Window.partitionBy("doc_id", "item_id", "h", "slots").orderBy((F.col("filled") != F.col("slots")).cast("int"), "at", "filled")
-    pairs = pairs.withColumn("n", F.row_number().over(best)).where("n = 1")
-    slots = pairs.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("slots", "filled")).alias("pairs"))  # bounded by the item's length
-    judge = F.udf(lambda ps: _consistent([(p[0], p[1]) for p in ps]), "boolean")
-    slots = slots.withColumn("verbatim", F.forall("pairs", lambda p: p["slots"] == p["filled"]))
-    fine = slots.where(F.col("verbatim") | judge("pairs")).select("doc_id", "item_id", "verbatim")
-    return enough.join(fine, ["doc_id", "item_id"]).select("doc_id", "item_id", "n_windows", "n_matched", "verbatim")
+    pairs = enough.select("doc_id", "item_id").join(item_keys, "item_id").join(hits, ["doc_id", "h"])
+    match = F.struct("key", "p", "q", F.greatest("named", "read").alias("named"), "slots", "filled")
+    matches = pairs.groupBy("doc_id", "item_id").agg(F.collect_set(match).alias("matches"))  # bounded by one document's windows
+    judge = F.udf(lambda ms, least, positions: _judge([tuple(m) for m in ms], least, positions), "int")
+    judged = matches.join(enough, ["doc_id", "item_id"]).withColumn("verdict", judge("matches", F.lit(share) * F.col("n_windows"), "positions"))
+    return judged.select("doc_id", "item_id", "n_windows", "n_matched", "verdict").where("verdict > 0").withColumn("verbatim", F.col("verdict") == 2).drop("verdict")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

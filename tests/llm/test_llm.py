@@ -136,6 +136,22 @@ def test_reparameterised_questions(spark):
     assert decontaminate.remove(d, bench).columns == d.columns
 
 
+def test_every_alignment_is_tried(spark):
+    same = "the farmer counts 3 apples in the basket and then the farmer counts 5 apples in the basket before going home to rest"
+    late = "we find that Maria walks 12 km in 3 hours and later on Maria also rests 12 minutes at home before she leaves"
+    names = "Alice has 3 apples. Bob has 5 apples. Carol has 7 apples. How many apples have Alice and Bob and Carol"
+    bench = spark.createDataFrame([(1, same), (2, late), (3, names)], "item_id long, text string")
+    docs = [
+        "Intro. " + same.replace("3", "7").replace("5", "9") + ". End",
+        "it is known that Peter walks 40 km in 8 hours. " + " ".join(WORDS * 20) + ". we find that Paula walks 9 km in 4 hours and later on Paula also rests 9 minutes at home before she leaves",
+        "Intro. " + names.replace("Alice", "Dora").replace("Bob", "Emil").replace("Carol", "Fritz").replace("5", "6") + ". End",
+        "Intro. " + late.replace("Maria also", "Paula also") + ". End",
+        "intro. " + names + ". End",
+    ]
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert got == {(0, 1): False, (1, 2): False, (2, 3): False, (4, 3): True}
+
+
 # -- 3 PII
 
 
