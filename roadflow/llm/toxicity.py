@@ -9,8 +9,9 @@ forward-backward over every line of every document; marginals are aggregated to
 a calibrated document score, and runs of tokens with a marginal of one half or
 more are the offending spans.
 
-The fit uses a bounded sample (``Settings.sample`` rows of each class, the first
-``Settings.train_chars`` characters of each); scoring always reads whole texts.
+The fit uses a bounded sample (``Settings.sample`` rows of each class) and whole
+texts, like scoring.  The scores' intercept is that of all training labels: where
+the bound leaves out more of one class than of the other, it is set right again.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ PREFIXES = (4, 5, 6)
 @dataclass(frozen=True)
 class Settings:
     sample: int = 1500  # labelled rows of each class that the model is fitted on, at most
-    train_chars: int = 20_000  # of each of those
     min_docs: int = 3  # toxic documents that a tell-tale word or prefix is in, at least
     min_odds: float = 12.0  # its document rate in toxic over clean documents, at least
     clean_lines: float = 0.04  # share of the lines without toxic tokens that the chain is fitted on
@@ -170,11 +170,15 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * top + c * math.log1p(float(marginal.sum()))))))
 
 
-def fit(rows: list[tuple[str, int]], s: Settings) -> Model:
-    """Fit on ``(text, label)``; with one class only, every score is that class's smoothed share."""
+def fit(rows: list[tuple[str, int]], s: Settings, drawn: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Fit on ``(text, label)``; with one class only, every score is that class's smoothed share.
+
+    ``drawn`` is the share of the rows of class 0 and of class 1 that ``rows`` holds.
+    """
     texts, labels = [r[0] for r in rows], np.array([r[1] for r in rows], int)
     n1 = int(labels.sum())
-    base = (n1 + 0.5) / (len(labels) + 1)
+    all0, all1 = (len(labels) - n1) / drawn[0], n1 / drawn[1]
+    base = (all1 + 0.5) / (all0 + all1 + 1)
     flat = Model({}, -60.0, np.zeros((2, 2)), (math.log(base / (1 - base)), 0.0, 0.0))
     if not 0 < n1 < len(labels):
         return flat
@@ -252,6 +256,7 @@ def fit(rows: list[tuple[str, int]], s: Settings) -> Model:
         beta -= step
         if np.abs(step).max() < 1e-8:
             break
+    beta[0] += math.log(drawn[0] / drawn[1])  # from the sample's class shares to those of all rows
     model.calibration = tuple(beta.tolist())
     return model
 
@@ -266,14 +271,16 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     own = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).where(in_training(F.col("doc_id")) & F.col("y").isin(0, 1))
     own = own.groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64(F.col("doc_id"), F.lit(settings.seed))
+    size = {r[0]: r[1] for r in own.groupBy("y").count().collect()}  # two rows
+    drawn = tuple(min(1.0, settings.sample / size.get(y, 1)) for y in (0, 1))
     sample = None
     for y in (1, 0):
         part = own.where(F.col("y") == y).orderBy(order, "doc_id").limit(settings.sample)
         sample = part if sample is None else sample.unionByName(part)
-    text = F.substring(F.coalesce("text", F.lit("")), 1, settings.train_chars).alias("text")
+    text = F.coalesce("text", F.lit("")).alias("text")
     rows = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y").collect()  # 2 x sample rows
     rows = sorted((r[0], r[1], r[2]) for r in rows)
-    return fit([(t, y) for _, t, y in rows], settings)
+    return fit([(t, y) for _, t, y in rows], settings, drawn)
 
 
 SCORED = "doc_id long, score double, n_spans long, spans string"

@@ -516,6 +516,27 @@ def test_toxic_documents_and_spans(spark):
     assert toxicity.score(d.limit(0), toxicity.train(d, lab)).count() == 0
 
 
+def test_toxic_fit_reads_whole_texts_and_keeps_class_shares(spark):
+    rng = random.Random(2)
+    words = [[rng.choice(WORDS) + str(rng.randint(0, 30)) for _ in range(40)] for _ in range(300)]
+    rows = [" ".join(w) for w in words]
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(300)], "doc_id long, toxic int")
+    few = toxicity.Settings(sample=20)
+    # nothing tells the classes apart: each document's score is the share of toxic ones among all labels
+    scores = [r.score for r in toxicity.score(frame(spark, rows), toxicity.train(frame(spark, rows), labels, few)).collect()]
+    assert max(scores) < 0.2
+    # the passage is behind 20,000 characters
+    filler = "\n".join(" ".join(WORDS) for _ in range(300)) + "\n"
+    assert len(filler) > 20_000
+    rows = [filler + r + (" you vilescum" if k % 10 == 0 else "") for k, r in enumerate(rows)]
+    model = toxicity.train(frame(spark, rows), labels)
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(frame(spark, rows), model).collect()}
+    assert got == {k: k % 10 == 0 for k in range(300)}
+    sample = [(t, int(k % 10 == 0)) for k, t in enumerate(rows) if k % 10 in (0, 1)]
+    a, b = toxicity.fit(sample, few), toxicity.fit(sample, few, (0.125, 1.0))
+    assert b.calibration[0] - a.calibration[0] == pytest.approx(math.log(0.125)) and b.calibration[1:] == a.calibration[1:]
+
+
 # -- pipeline
 
 
