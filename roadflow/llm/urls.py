@@ -24,8 +24,6 @@ MIN_SUPPORT = 0.001
 MIN_CONFIDENCE = 0.5
 #: Labelled rows that a rule rests on, at least, whatever the share asks for.
 MIN_ROWS = 5
-#: Tokens of a rule, at most.
-MAX_TOKENS = 3
 #: Rules that are broadcast, at most; beyond it the index is joined by shuffle with salted pages.
 FEW_RULES = 100_000
 SALTS = 16
@@ -63,11 +61,12 @@ def explicit(host_col: Column, path_col: Column, rules: Sequence[tuple[str, str]
     return rule, verdict
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``(tokens, confidence, support)`` from ``labelled(tokens, bad)``: combinations of URL tokens that imply a bad label.
 
     ``support`` is the share of labelled rows with the tokens and a bad label.
-    Rules that contain another kept rule's tokens decide nothing more and go.
+    Rules that contain another kept rule's tokens decide nothing more and go;
+    a rule may have any number of tokens.
     Empty where nothing is labelled.
     """
     baskets = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
@@ -75,13 +74,12 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     min_support = min(1.0, max(min_support, MIN_ROWS / n)) if n else 1.0
     # A rule of n tokens comes from an itemset of n + 1; counting happens in FP-growth's trees.
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.size("antecedent") <= max_tokens))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    small = F.broadcast(rules.select(F.col("tokens").alias("part")).where(F.size("tokens") < max_tokens))
+    rules = model.associationRules.where(F.col("consequent")[0] == BAD)
+    rules = materialise(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-mined")
     inside = (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)
     # subsets of a rule share a token with it: an equality join on exploded tokens, not all pairs
     one = rules.select("tokens", F.explode("tokens").alias("t"))
-    part = small.select("part", F.element_at("part", 1).alias("t"))
+    part = rules.select(F.col("tokens").alias("part"), F.element_at("tokens", 1).alias("t"))
     return rules.join(one.join(part, "t").where(inside).select("tokens").distinct(), "tokens", "left_anti")
 
 

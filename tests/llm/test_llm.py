@@ -113,6 +113,34 @@ def test_url_mining_is_brute_force(spark):
     assert len(got) == 301
 
 
+def test_url_rules_of_any_length(spark):
+    # bad only where four (five) tokens meet: any three (four) of them are mostly good
+    rows, labels = [], []
+    for parts in (("m", "shop", "a", "b"), ("w", "club", "c", "d", "e")):
+        for on in itertools.product((0, 1), repeat=len(parts)):
+            for _ in range(12):
+                t = [x if o else x + "x" for x, o in zip(parts, on, strict=True)]
+                rows.append((len(rows), f"http://{t[0]}.{t[1]}.example/" + "/".join(t[2:])))
+                labels.append((len(labels), 0 if all(on) else 1))
+    pages, lab = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, lab, min_confidence=0.6).collect()}
+
+    def toks(u):
+        return frozenset(re.findall(r"\w+", u.split("://")[1]))
+
+    good, sets = dict(labels), {}
+    every, bad = Counter(), Counter()
+    for k, u in rows:
+        t = toks(u)
+        for c in sets.setdefault(t, [c for n in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), n)]):
+            every[c] += 1
+            bad[c] += good[k] == 0
+    rules = [set(c) for c in every if bad[c] >= urls.MIN_ROWS and bad[c] / every[c] >= 0.6]
+    assert rules and min(map(len, rules)) == 4
+    assert got == {k: "block" if any(x <= toks(u) for x in rules) else "allow" for k, u in rows}
+    assert {k for k, v in got.items() if v == "block"} == {k for k, q in labels if q == 0}
+
+
 # -- 2 decontamination
 
 
