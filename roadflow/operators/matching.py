@@ -14,7 +14,6 @@ from ..functions import geo
 from . import network
 
 LOG_TINY = math.log(TINY)
-CELL = 0.01
 
 
 def _kept(lat: np.ndarray, lon: np.ndarray, threshold: float) -> np.ndarray:
@@ -51,34 +50,44 @@ def adaptive_radius(kept: DataFrame, sigma: float = SIGMA_Z) -> DataFrame:
     return kept.withColumn("radius", F.when(dt.isNull(), RADIUS_MIN_M).otherwise(r)).withColumn("step", (F.row_number().over(w) - 1).cast("int"))
 
 
-def _box_cells(geom: Column, pad_lat: float, pad_lon: float) -> Column:
-    lats, lons = F.transform(geom, lambda p: p["lat"]), F.transform(geom, lambda p: p["lon"])
-
-    def span(a: Column, pad: float) -> Column:
-        return F.sequence(F.floor((F.array_min(a) - pad) / CELL), F.floor((F.array_max(a) + pad) / CELL))
-
-    return F.flatten(F.transform(span(lons, pad_lon), lambda x: F.transform(span(lats, pad_lat), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+def _pieces(edges: DataFrame, pad: float, cell: float) -> DataFrame:
+    """Straight pieces of the segments with plain columns, one row for each grid cell that a piece's padded box touches."""
+    n = F.size("geom") - 1
+    lead = [geo.bearing_deg(F.col("geom")[0]["lat"], F.col("geom")[0]["lon"], F.element_at("geom", -1)["lat"], F.element_at("geom", -1)["lon"]).alias("along")]
+    p = edges.select("u", "v", "k", *lead, F.posexplode(F.arrays_zip(F.slice("geom", 1, n).alias("a"), F.slice("geom", 2, n).alias("b"))).alias("piece", "ab"))
+    p = p.select("u", "v", "k", "along", "piece", *[F.col(f"ab.{e}.{x}").alias(f"{e}{x}") for e in "ab" for x in ("lat", "lon")])
+    box = [(f(f"a{x}", f"b{x}") + sign * pad).alias(n) for n, f, x, sign in (("_s", F.least, "lat", -1), ("_n", F.greatest, "lat", 1), ("_w", F.least, "lon", -1), ("_e", F.greatest, "lon", 1))]
+    span = [F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)) for lo, hi in (("_w", "_e"), ("_s", "_n"))]
+    return p.select("*", *box).withColumn("cx", F.explode(span[0])).withColumn("cy", F.explode(span[1]))
 
 
 def candidates(pings: DataFrame, edges: DataFrame, radius: Column | float = RADIUS_MIN_M, max_radius: float = RADIUS_MAX_M) -> DataFrame:
     """Segments whose projection is within ``radius`` of each ping.
 
-    A range join as an equality join: each segment is listed in every grid cell
-    its padded box touches, so a ping meets a segment once, in its own cell.
-    Adds ``u, v, k, proj_lat, proj_lon, dist_m, rank`` (by distance, then key).
+    A range join as an equality join: each straight piece of a segment is listed
+    in every grid cell its padded box touches (cells are as wide as the padding),
+    so a ping meets a piece once, in its own cell.  Of a segment's pieces the one
+    nearest in degrees counts; the padding is wide enough that it is among those
+    met.  The pairs are dealt by ping once, for the choice of the piece and for
+    the ranks alike.  Adds ``u, v, k, along, proj_lat, proj_lon, dist_m, rank``
+    (by distance, then key); ``along`` is the bearing from a segment's start to its end.
     """
-    pad_lat = max_radius / 111_000.0
-    pad_lon = pad_lat / 0.7  # up to 45 degrees of latitude
-    lats, lons = F.transform("geom", lambda p: p["lat"]), F.transform("geom", lambda p: p["lon"])
-    box = [(f(x) + s * pad).alias(n) for f, x, s, pad, n in ((F.array_min, lats, -1, pad_lat, "_s"), (F.array_max, lats, 1, pad_lat, "_n"), (F.array_min, lons, -1, pad_lon, "_w"), (F.array_max, lons, 1, pad_lon, "_e"))]
-    cells = edges.select("u", "v", "k", "geom", *box, F.explode(_box_cells(F.col("geom"), pad_lat, pad_lon)).alias("c")).select("u", "v", "k", "geom", "_s", "_n", "_w", "_e", "c.*")
-    p = pings.withColumn("cx", F.floor(F.col("lon") / CELL)).withColumn("cy", F.floor(F.col("lat") / CELL))
-    j = p.join(cells, ["cx", "cy"]).where("lat BETWEEN _s AND _n AND lon BETWEEN _w AND _e").drop("_s", "_n", "_w", "_e").withColumn("p", geo.project(F.col("lat"), F.col("lon"), F.col("geom")))
+    pad = max_radius / 111_000.0 / 0.7  # up to 45 degrees of latitude
+    p = pings.withColumn("cx", F.floor(F.col("lon") / pad)).withColumn("cy", F.floor(F.col("lat") / pad))
+    j = p.join(_pieces(edges, pad, pad), ["cx", "cy"]).where("lat BETWEEN _s AND _n AND lon BETWEEN _w AND _e")
+    dx, dy = F.col("blon") - F.col("alon"), F.col("blat") - F.col("alat")
+    d2 = dx * dx + dy * dy
+    t = F.when(d2 > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("lon") - F.col("alon")) * dx + (F.col("lat") - F.col("alat")) * dy) / d2))).otherwise(F.lit(0.0))
+    j = j.select(*pings.columns, "u", "v", "k", "along", "piece", (F.col("alon") + t * dx).alias("x"), (F.col("alat") + t * dy).alias("y"))
+    off = (F.col("lon") - F.col("x")) * (F.col("lon") - F.col("x")) + (F.col("lat") - F.col("y")) * (F.col("lat") - F.col("y"))
+    best = F.min(F.struct(off.alias("d2"), "piece", F.col("y").alias("lat"), F.col("x").alias("lon"))).alias("p")
+    kept = [c for c in pings.columns if c not in ("vehicle_id", "seq")]
+    j = j.repartition("vehicle_id", "seq").groupBy("vehicle_id", "seq", "u", "v", "k").agg(best, F.first("along").alias("along"), *[F.first(c).alias(c) for c in kept])
     j = j.withColumn("dist_m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("p.lat"), F.col("p.lon")))
     r = F.lit(float(radius)) if isinstance(radius, int | float) else radius
     j = j.where(F.col("dist_m") <= r).withColumn("proj_lat", F.col("p.lat")).withColumn("proj_lon", F.col("p.lon"))
     w = Window.partitionBy("vehicle_id", "seq").orderBy("dist_m", "u", "v", "k")
-    return j.withColumn("rank", F.row_number().over(w)).drop("cx", "cy", "p")
+    return j.withColumn("rank", F.row_number().over(w)).drop("p")
 
 
 def nearest_match(pings: DataFrame, edges: DataFrame, radius: float = RADIUS_MIN_M) -> DataFrame:
@@ -113,11 +122,9 @@ def emission(cands: DataFrame, sigma: float = SIGMA_Z, use_bearing: bool = True)
     far = geo.haversine_m(*prev, F.col("lat"), F.col("lon")) >= BEARING_MIN_M
     steps = steps.select("vehicle_id", "seq", (F.row_number().over(w) - 1).cast("int").alias("step"), F.when(far, geo.bearing_deg(*prev, F.col("lat"), F.col("lon"))).alias("heading"))
     e = cands.drop("step").join(steps, ["vehicle_id", "seq"])
-    a, b = F.col("geom")[0], F.element_at("geom", -1)
     logp = log_emission(F.col("dist_m"), sigma)
     if use_bearing:
-        along = geo.bearing_deg(a["lat"], a["lon"], b["lat"], b["lon"])
-        logp = logp + F.coalesce(log_bearing(geo.bearing_delta(F.col("heading"), along)), F.lit(0.0))
+        logp = logp + F.coalesce(log_bearing(geo.bearing_delta(F.col("heading"), F.col("along"))), F.lit(0.0))
     return e.withColumn("logp", F.greatest(logp, F.lit(LOG_TINY)))
 
 
