@@ -7,35 +7,39 @@ also starts in a document with a smaller doc_id.
    smallest hash of the ``GRAM``-byte strings in it.  Equal windows have equal
    keys, so a window whose key occurs in one document only repeats nothing
    earlier and needs no sorting.  Runs of windows with one key form a segment.
+   A run of more than ``PIECE`` windows is cut into several segments.
 2. Segments whose key occurs in several documents are dealt by key, so that all
    occurrences of a window meet in one task, whatever the corpus.
-3. A key with a single segment text repeats it whole.  Of all others, each task
-   sorts the suffixes by the difference-cover method
+3. Rows come sorted by key and text, and equal texts are found by comparing the
+   bytes of neighbours.  A key with a single segment text repeats it whole: there
+   is nothing left to sort.  Of all others, each task sorts the suffixes of the
+   distinct texts by the difference-cover method
    (positions not divisible by three: sort triples, name them, recurse on the
    names until they are distinct or span the width; order the rest by one symbol
    and a name; merge), then compares the prefixes of adjacent suffixes.  A class
    of equal prefixes passes on its smallest doc_id.
-4. A key with more than ``HOT`` segments is not sorted in one task: its windows
+4. A key with more than ``HOT`` windows is not sorted in one task: its windows
    are dealt one by one by a 128-bit hash and aggregated before the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 WIDTH, GRAM = 50, 20
-#: Segments of one key that are sorted in one task, at most.
-HOT = 50_000
-#: Bytes of segments that are sorted at once (a task works through its keys in such chunks).
-CHUNK = 1_500_000
+#: Windows of one key that are sorted in one task, at most, and those of one segment.
+HOT, PIECE = 1_000_000, 4000
+#: Bytes of segments that a task takes in at once (whole keys), and bytes of distinct texts that are sorted at once.
+INTAKE, CHUNK = 8_000_000, 1_500_000
 #: Keys (8 bytes each) that are broadcast, at most; beyond it each document is sent its own keys by shuffle.
 FEW_KEYS = 8_000_000
 #: Bytes of removed runs that are broadcast, at most; beyond it they are joined by shuffle.
@@ -175,7 +179,7 @@ def _text(docs: DataFrame) -> DataFrame:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """``(key, doc_id, n)``: each document's keys, once, with their segments."""
+    """``(key, doc_id, n)``: each document's keys, once, with the number of their windows."""
 
     def run(batches):
         for batch in batches:
@@ -183,9 +187,10 @@ def _keys(docs: DataFrame) -> DataFrame:
             for d, b in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 keys = window_keys(np.frombuffer(b.as_buffer(), np.uint8))
                 if len(keys):
-                    u, n = np.unique(keys[_runs(keys)[0]], return_counts=True)
+                    begin, end = _runs(keys)
+                    u, at = np.unique(keys[begin], return_inverse=True)
                     ks.append(u)
-                    ns.append(n)
+                    ns.append(np.bincount(at, end - begin).astype(np.int64))
                     ds.append(np.full(len(u), d, np.int64))
                 if sum(map(len, ks)) > 500_000:
                     yield _batch(ks, ds, ns)
@@ -223,6 +228,11 @@ def _segments(src: DataFrame, shared) -> DataFrame:
                 s, e, key = s[hit], e[hit], key[hit]
                 if not len(s):
                     continue
+                if int((e - s).max()) > PIECE:
+                    many = -(-(e - s) // PIECE)
+                    nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                    s, e, key = np.repeat(s, many) + nth * PIECE, np.repeat(e, many), np.repeat(key, many)
+                    e = np.minimum(e, s + PIECE)
                 raw, tag = bytes(buf), crc32(buf)
                 segs += [raw[i : j + WIDTH - 1] for i, j in zip(s.tolist(), e.tolist(), strict=True)]
                 for out, x in zip(rows, (key, np.full(len(s), d, np.int64), np.full(len(s), tag, np.int64), s.astype(np.int64)), strict=True):
@@ -243,73 +253,90 @@ def _segments(src: DataFrame, shared) -> DataFrame:
 _CUT = "doc_id long, tag long, s long, e long"
 
 
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the sizes in turn."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _cuts_of(rows: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """Removed runs ``(doc_id, tag, start, end)`` of whole keys' segments, sorted by key and text."""
+    key, doc, tag, start = (rows.column(k).to_numpy() for k in range(4))
+    seg = rows.column(4).combine_chunks()
+    size = pc.binary_length(seg).to_numpy().astype(np.int64)
+    new_key = np.append(True, key[1:] != key[:-1])
+    new_text = new_key.copy()
+    new_text[1:] |= pc.not_equal(seg.slice(1), seg.slice(0, len(seg) - 1)).to_numpy(zero_copy_only=False)
+    first_row = np.flatnonzero(new_text)
+    low = np.minimum.reduceat(doc, first_row)  # by text: its smallest doc_id
+    text = np.cumsum(new_text) - 1
+    of_key = np.cumsum(new_key[first_row]) - 1
+    alone = np.bincount(of_key)[of_key] == 1  # one string wherever the key occurs: nothing to sort
+    gone = alone[text] & (doc > low[text])
+    yield doc[gone], tag[gone], start[gone], start[gone] + size[gone]
+
+    texts = np.flatnonzero(~alone)
+    if not len(texts):
+        return
+    # chunks of whole keys, for windows of different keys differ
+    ends = np.cumsum(size[first_row[texts]])
+    last = np.append(of_key[texts][1:] != of_key[texts][:-1], True)
+    row_of = np.flatnonzero(~alone[text])
+    begin, base = 0, 0
+    for k in np.flatnonzero(last).tolist():
+        if ends[k] - base < CHUNK and k + 1 < len(texts):
+            continue
+        own = texts[begin : k + 1]
+        lows = repeats(seg.take(pa.array(first_row[own])).to_pylist(), low[own])
+        width = np.array([len(x) for x in lows])
+        offset = np.cumsum(width) - width
+        flat = np.concatenate(lows)
+        lo, hi = np.searchsorted(text[row_of], (own[0], own[-1] + 1))
+        mine = row_of[lo:hi]
+        index = np.searchsorted(own, text[mine])
+        step = np.searchsorted(np.cumsum(width[index]), np.arange(1, int(width[index].sum()) // CHUNK + 2) * CHUNK)
+        for i, j in zip([0, *(step[:-1] + 1)], [*(step[:-1] + 1), len(mine)], strict=True):
+            part, at = mine[i:j], index[i:j]
+            if not len(part):
+                continue
+            inside = _ranges(width[at])
+            row = np.repeat(np.arange(len(part)), width[at])
+            hit = np.flatnonzero(flat[np.repeat(offset[at], width[at]) + inside] < doc[part][row])
+            if len(hit):
+                row, pos = row[hit], inside[hit]
+                cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (np.diff(pos) > WIDTH)))
+                r, s, e = part[row[cut]], pos[cut], pos[np.append(cut[1:] - 1, len(pos) - 1)]
+                yield doc[r], tag[r], start[r] + s, start[r] + e + WIDTH
+        begin, base = k + 1, int(ends[k])
+
+
 def _sorted_cuts(segments: DataFrame) -> DataFrame:
-    """Removed byte runs from suffix-sorting each task's segments, a chunk of whole keys at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        kept: list[bytes] = []  # the chunk: distinct segments, their smallest doc_id, and (doc_id, tag, start, segment)
-        first: list[int] = []
-        rows: list[tuple] = []
-        cuts: list[tuple] = []
-        size, last = 0, None
-        seen: dict[bytes, int] = {}  # the same for the current key
-        low: list[int] = []
-        own: list[tuple] = []
-
-        def end_of_key() -> int:
-            if len(low) == 1:  # one string wherever the key occurs: nothing to sort
-                for d, t, s, seg in own:
-                    if d > low[0]:
-                        cuts.append((d, t, s, s + len(seg)))
-                return 0
-            base = len(kept)
-            kept.extend(seen)
-            first.extend(low)
-            rows.extend((d, t, s, base + seen[seg]) for d, t, s, seg in own)
-            return sum(map(len, seen))
-
-        def flush() -> None:
-            if kept:
-                lows = repeats(kept, np.array(first, np.int64))
-                for d, t, s, k in rows:
-                    gone = np.flatnonzero(lows[k] < d)
-                    if len(gone):
-                        cut = np.flatnonzero(np.diff(gone) > WIDTH)
-                        for a, z in zip(gone[np.append(0, cut + 1)].tolist(), gone[np.append(cut, len(gone) - 1)].tolist(), strict=True):
-                            cuts.append((d, t, s + a, s + z + WIDTH))
-            for x in (kept, first, rows):
-                x.clear()
-
-        def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*cuts, strict=True)], names=["doc_id", "tag", "s", "e"])
-            cuts.clear()
-            return b
+    """Removed byte runs from suffix-sorting each task's segments, an intake of whole keys at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        def out(part: list[pa.RecordBatch]):
+            for cuts in _cuts_of(pa.Table.from_batches(part)):
+                if len(cuts[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cuts], names=["doc_id", "tag", "s", "e"])
 
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for key, d, t, s, seg in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != last:
-                    if last is not None:
-                        size += end_of_key()
-                        if size > CHUNK:
-                            flush()
-                            size = 0
-                        if len(cuts) > 100_000:
-                            yield out()
-                    seen, low, own, last = {}, [], [], key  # windows of different keys differ
-                k = seen.setdefault(seg, len(low))
-                if k == len(low):
-                    low.append(d)
-                elif d < low[k]:
-                    low[k] = d
-                own.append((d, t, s, seg))
-        if last is not None:
-            end_of_key()
-        flush()
-        if cuts:
-            yield out()
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            if size > INTAKE:
+                change = np.flatnonzero(key != held[-1].column(0)[-1].as_py())  # sorted by key: where the last one ends
+                if len(change):
+                    k = int(change[0])
+                    yield from out([*held, batch.slice(0, k)] if k else held)
+                    held, size, batch = [], 0, batch.slice(k)
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield from out(held)
 
     n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return segments.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, _CUT)
+    return segments.repartition(n, "key").sortWithinPartitions("key", "seg").mapInArrow(run, _CUT)
 
 
 def _hot_cuts(segments: DataFrame) -> DataFrame:
