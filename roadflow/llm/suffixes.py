@@ -86,7 +86,7 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_order(s: np.ndarray, span: int) -> np.ndarray:
-    """Ranks of all suffixes of ``s`` (symbols from 1), equal where ``span`` symbols agree and the method has told them no further."""
+    """Ranks of all suffixes of ``s`` (symbols from 1), in any order where ``span`` symbols agree."""
     n = len(s)
     if n < 3:
         order = sorted(range(n), key=lambda k: s[k:].tolist())
@@ -98,7 +98,7 @@ def suffix_order(s: np.ndarray, span: int) -> np.ndarray:
     sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
     if top < 1 << 21:
         packed = (pad[sample] * np.uint64(top) + pad[sample + 1]) * np.uint64(top) + pad[sample + 2]
-        order = np.argsort(packed, kind="stable")
+        order = np.argsort(packed)
         p = packed[order]
         new = np.append(True, p[1:] != p[:-1])
     else:
@@ -107,31 +107,33 @@ def suffix_order(s: np.ndarray, span: int) -> np.ndarray:
         new = np.append(True, np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in t]))
     names = np.empty(len(sample), np.int64)
     names[order] = np.cumsum(new)
+    at = sample[order]
     if int(new.sum()) < len(sample) and span > 3:
         names = suffix_order(names, -(-span // 3)) + 1
+        at = sample[np.argsort(names)]
+    at = at[at < n]  # the sample may hold the end
     rank = np.zeros(n + 4, np.uint64)  # of sample positions, from 1; 0 beyond the end
     rank[sample] = names
     # the rest: one symbol, then the rank of the position after it
     rest = np.arange(0, n, 3)
     big = np.uint64(int(names.max()) + 2)
     r0 = pad[rest] * big + rank[rest + 1]
-    own = np.argsort(r0, kind="stable")
+    own = np.argsort(r0)
     rest, r0 = rest[own], r0[own]
     # merge: against positions 1 mod 3 by one symbol, against 2 mod 3 by two
     one, two = np.arange(1, n, 3), np.arange(2, n, 3)
     k1 = pad[one] * big + rank[one + 1]
-    o1 = np.argsort(k1, kind="stable")
+    o1 = np.argsort(k1)
     pair = pad * np.uint64(top) + np.append(pad[1:], np.uint64(0))
-    _, dense = np.unique(pair[:n], return_inverse=True)  # two symbols as one, so that they pack with a rank
-    dense = np.append(dense.astype(np.uint64), np.zeros(4, np.uint64))
+    dense = pair[:n]
+    if top * top * int(big) >= 1 << 63:  # two symbols as one, so that they pack with a rank
+        dense = np.unique(dense, return_inverse=True)[1].astype(np.uint64)
     k2 = dense[two] * big + rank[two + 2]
-    o2 = np.argsort(k2, kind="stable")
+    o2 = np.argsort(k2)
     below1 = np.searchsorted(k1[o1], r0)
     below2 = np.searchsorted(k2[o2], dense[rest] * big + rank[rest + 2])
     out = np.empty(n, np.int64)
     out[rest] = np.arange(len(rest)) + below1 + below2
-    at = np.concatenate([one, two])
-    at = at[np.argsort(rank[at], kind="stable")]
     # a sample suffix stands after the rest suffixes that are not below it
     is_one = at % 3 == 1
     before = np.empty(len(at), np.int64)
@@ -151,7 +153,7 @@ def repeats(segments: list[bytes], first: np.ndarray, width: int = WIDTH) -> lis
     symbols = s.astype(np.int64) + 2
     ends = starts + sizes
     symbols[ends] = 1
-    order = np.argsort(suffix_order(symbols[: ends[-1] + 1], width), kind="stable")
+    order = np.argsort(suffix_order(symbols[: ends[-1] + 1], width))
     n_windows = sizes - width + 1
     owner = np.repeat(np.arange(len(segments)), n_windows)
     at = np.arange(len(owner)) - np.repeat(np.append(0, np.cumsum(n_windows)[:-1]), n_windows) + starts[owner]
