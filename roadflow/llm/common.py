@@ -1,14 +1,25 @@
-"""Shared plumbing: durable intermediate tables, integrity-safe column handling
-and a distributed connected-components routine."""
+"""Shared plumbing: durable intermediate tables, bounded Arrow batches and a
+distributed connected-components routine."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch that a Python worker is handed, about at most (a row is never cut).
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+#: Folders that ``materialise`` has written in this process, in order.
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -35,7 +46,60 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    _written.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for t in tables:
+        if getattr(t, "_folder", None) in _written:
+            _delete(t.sparkSession, t._folder)
+
+
+def written() -> int:
+    """A mark for ``discard_since``: how many materialised tables there are."""
+    return len(_written)
+
+
+def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
+    """Delete what was materialised after ``mark``, but for ``keep``; results that still read from it must have been written."""
+    for path in _written[mark:]:
+        if keep is None or path != getattr(keep, "_folder", None):
+            _delete(spark, path)
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system: workers are reused by later tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` over batches bounded by bytes as well as by rows; a task's end gives its memory back."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BYTES).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BYTES, str(BATCH_BYTES))
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -61,11 +125,12 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, name)
+        large, old = materialise(large, name), cur
         # small star: smaller neighbours and the node itself go to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         cur = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(old, large)
         after = state(cur)
         if after == before:
             break

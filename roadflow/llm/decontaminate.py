@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_batches, materialise
 
 WIDTH = 5
 SHARE = 0.5
@@ -95,7 +95,7 @@ def _codes(tokens: list[str], cache: dict[str, int] | None = None) -> np.ndarray
     cache = {} if cache is None else cache
     codes = list(map(cache.get, tokens))
     if None in codes:
-        if len(cache) > 500_000:
+        if len(cache) > 150_000:
             cache.clear()
         for k, c in enumerate(codes):
             if c is None:
@@ -159,7 +159,7 @@ def _windows(df: DataFrame, id_col: str, text_col: str, width: int, block=None)
             cols = ((ids, pa.int64()), (hs, pa.int64()), (ats, pa.int32()), (slots, pa.string()), (keys, pa.int64()), (named, pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], names=["id", "h", "at", "slots", "key", "named"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, _ROWS)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).transform(map_batches, run, _ROWS)
 
 
 def _aligned(chosen) -> tuple[set[int], bool] | None:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_batches, materialise
 
 MIN_CHARS = 20
 #: Blocks of a line, of which two lines within one edit share all but one.
@@ -164,7 +164,7 @@ def _earliest_neighbours(docs: DataFrame, near: DataFrame) -> DataFrame:
                 left = [part.column(k).take(index) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([*left, pa.array(np.concatenate(hs)), pa.array(at)], names=["h1", "h2", "doc_id", "line_no", "v", "at"])
 
-    keys = texts.mapInArrow(expand, "h1 long, h2 long, doc_id long, line_no int, v long, at int")
+    keys = texts.transform(map_batches, expand, "h1 long, h2 long, doc_id long, line_no int, v long, at int")
     first = F.struct("doc_id", "line_no", "h1", "h2")
     by_key = Window.partitionBy("v")
     keys = keys.withColumn("first", first)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_batches, materialise
 
 ALPHA = 0.4
 ORDER = 2
@@ -38,7 +38,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Words:
     """64-bit hashes of the lower-cased words of a text; remembers words up to a bound."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.known: dict[str, int] = {}
         self.most = most
 
@@ -172,8 +172,8 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
         if held:
             yield flush(held)
 
-    counts = src.mapInArrow(explode, _COUNTS).repartition(n_tasks, "p").sortWithinPartitions("p", "n")
-    totals = materialise(counts.mapInArrow(total, _TOTALS), "lm-totals")
+    counts = src.transform(map_batches, explode, _COUNTS).repartition(n_tasks, "p").sortWithinPartitions("p", "n")
+    totals = materialise(counts.transform(map_batches, total, _TOTALS), "lm-totals")
     corpus = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
 
     def label(rows):
@@ -184,7 +184,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
 
     null = F.lit(None)
     left = totals.select("batch", "n", "p", "totals", null.cast("long").alias("place"), null.cast("long").alias("doc_id"), null.cast("string").alias("text"))
-    right = src.mapInArrow(label, "batch long, place long, doc_id long, text string")
+    right = src.transform(map_batches, label, "batch long, place long, doc_id long, text string")
     right = right.select("batch", F.lit(99).alias("n"), F.lit(0).alias("p"), null.cast("binary").alias("totals"), "place", "doc_id", "text")
     both = left.unionByName(right).repartition(n_tasks, "batch").sortWithinPartitions("batch", "n", "p", "place")
 
@@ -237,4 +237,4 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
         if ids:
             yield flush(ids, arrays, parts)
 
-    return both.mapInArrow(sums, "doc_id long, n_words long, log_score double, mean_log_score double")
+    return both.transform(map_batches, sums, "doc_id long, n_words long, log_score double, mean_log_score double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_batches, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -126,7 +126,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             row = np.frombuffer(os.urandom(8 * b.num_rows), np.int64)  # tells rows of one id apart; fixed once written
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(row), pa.array(found, kind)], names=["doc_id", "row", "occ"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, row long, occ {_OCC}")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_batches, run, f"doc_id long, row long, occ {_OCC}")
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:

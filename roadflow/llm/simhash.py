@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, map_batches, materialise
 from .decontaminate import window_hashes
 
 MAX_BITS = 2
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return src.transform(map_batches, run, "doc_id long, fp long")
 
 
 def _mask(positions: tuple[int, ...]) -> int:
@@ -197,7 +197,7 @@ def _verified(pairs: DataFrame, hashes: DataFrame, similarity: float) -> DataFra
                 fine.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(fine, pa.bool_()))
 
-    return pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "a", "b").transform(map_batches, run, "u long, v long")
 
 
 def near_copies(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -224,7 +224,7 @@ def near_copies(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARIT
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(posts), pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([len(h) for h in sets], pa.int64()), lists], names=["doc_id", "key", "size", "posts"])
 
-    sets = materialise(src.mapInArrow(post, "doc_id long, key long, size long, posts array<long>"), "near-sets")
+    sets = materialise(src.transform(map_batches, post, "doc_id long, key long, size long, posts array<long>"), "near-sets")
     classes = materialise(sets.groupBy("key").agg(F.min("doc_id").alias("first_id")), "near-classes")
     by_post = Window.partitionBy("post")
     posts = sets.select("key", "size", F.explode("posts").alias("post"))
@@ -243,7 +243,7 @@ def near_copies(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARIT
     wanted = posts.select("key").distinct().join(classes, "key").select("key", F.col("first_id").alias("doc_id"))
     # a repeated doc_id may have other texts, which expand leaves out
     rows = src.join(wanted, "doc_id").select("key", "text")
-    hashes = materialise(rows.mapInArrow(expand, "key long, hashes binary").dropDuplicates(["key"]), "near-hashes")
+    hashes = materialise(rows.transform(map_batches, expand, "key long, hashes binary").dropDuplicates(["key"]), "near-hashes")
     found = comps = tried = None
     for k in range(LEADERS + 1):
         if comps is not None:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import map_batches, materialise
 
 WIDTH, GRAM = 50, 20
 #: Windows of one key that are sorted in one task, at most, and those of one segment.
@@ -203,7 +203,7 @@ def _keys(docs: DataFrame) -> DataFrame:
     def _batch(ks, ds, ns):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ns))], names=["key", "doc_id", "n"])
 
-    return _text(docs).where("doc_id IS NOT NULL AND length(b) >= 50").mapInArrow(run, "key long, doc_id long, n long")
+    return _text(docs).where("doc_id IS NOT NULL AND length(b) >= 50").transform(map_batches, run, "key long, doc_id long, n long")
 
 
 _SEG = "key long, doc_id long, tag long, start long, seg binary"
@@ -249,7 +249,7 @@ def _segments(src: DataFrame, shared) -> DataFrame:
     def _out(rows, segs):
         return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in rows), pa.array(segs, pa.binary())], names=["key", "doc_id", "tag", "start", "seg"])
 
-    return src.mapInArrow(run, _SEG)
+    return src.transform(map_batches, run, _SEG)
 
 
 _CUT = "doc_id long, tag long, s long, e long"
@@ -338,7 +338,7 @@ def _sorted_cuts(segments: DataFrame) -> DataFrame:
             yield from out(held)
 
     n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return segments.repartition(n, "key").sortWithinPartitions("key", "seg").mapInArrow(run, _CUT)
+    return segments.repartition(n, "key").sortWithinPartitions("key", "seg").transform(map_batches, run, _CUT)
 
 
 def _hot_cuts(segments: DataFrame) -> DataFrame:
@@ -358,7 +358,7 @@ def _hot_cuts(segments: DataFrame) -> DataFrame:
                 h1, h2 = (np.concatenate([h[k] for h in hs]).view(np.int64) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), part.column(1).take(index), part.column(2).take(index), pa.array(pos)], names=["h1", "h2", "doc_id", "tag", "s"])
 
-    windows = materialise(segments.mapInArrow(run, "h1 long, h2 long, doc_id long, tag long, s long"), "suffix-hot")
+    windows = materialise(segments.transform(map_batches, run, "h1 long, h2 long, doc_id long, tag long, s long"), "suffix-hot")
     low = materialise(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low")), "suffix-hot-low")
     hit = windows.join(low, ["h1", "h2"]).where("low < doc_id")
     return hit.select("doc_id", "tag", "s", (F.col("s") + WIDTH).alias("e"))
@@ -379,7 +379,7 @@ def _merge(cuts: DataFrame) -> DataFrame:
                 out.append(np.concatenate([s[new], reach[np.append(new[1:], True)]]).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["doc_id", "tag", "runs"])
 
-    return grouped.select("doc_id", "tag", "s", "e").mapInArrow(run, "doc_id long, tag long, runs binary")
+    return grouped.select("doc_id", "tag", "s", "e").transform(map_batches, run, "doc_id long, tag long, runs binary")
 
 
 def removed_runs(docs: DataFrame, hot: int = HOT, few_keys: int = FEW_KEYS) -> DataFrame:
@@ -420,7 +420,7 @@ def dedup(docs: DataFrame, hot: int = HOT, few_keys: int = FEW_KEYS) -> DataFram
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([crc32(x.as_buffer()) for x in b.column(1)], pa.int64())], names=["doc_id", "b", "tag"])
 
-    rows = _text(docs).mapInArrow(tag, "doc_id long, b binary, tag long")
+    rows = _text(docs).transform(map_batches, tag, "doc_id long, b binary, tag long")
     rows = rows.join(F.broadcast(runs) if size <= FEW_BYTES else runs, ["doc_id", "tag"], "left")
 
     def cut(batches):
@@ -436,5 +436,5 @@ def dedup(docs: DataFrame, hot: int = HOT, few_keys: int = FEW_KEYS) -> DataFram
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "starts", "ends"])
 
-    return rows.select("doc_id", "b", "runs").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>")
+    return rows.select("doc_id", "b", "runs").transform(map_batches, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>")
 

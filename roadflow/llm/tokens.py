@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 
 #: Chunks remembered by a worker before it starts afresh (bounds its memory).
-CACHE = 700_000
+CACHE = 150_000
 
 _encoders: dict[str, Callable[[str], bytes]] = {}
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches, materialise
+
 _TOKEN = re.compile(r"\w+|\n")
 PREFIXES = (4, 5, 6)
 
@@ -135,7 +137,7 @@ class Model:
             for get, n in heads:
                 if len(w) >= n:
                     x += get(w[:n], 0.0)
-            if len(known) > 500_000:
+            if len(known) > 150_000:
                 known.clear()
                 known["\n"] = math.nan
             if len(word) < 40:
@@ -319,7 +321,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             flush()
             yield pa.RecordBatch.from_arrays([ids, pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(spans, pa.string())], names=["doc_id", "score", "n_spans", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_batches, run, SCORED)
 
 
 def _spans(text: str, marginal: np.ndarray, toks: list[str]) -> list[tuple[int, int]]:
@@ -337,6 +339,4 @@ def _spans(text: str, marginal: np.ndarray, toks: list[str]) -> list[tuple[int,
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more; rows with a null id stay."""
     bad = score(docs, train(docs, labels)).where(F.col("score") >= threshold).select("doc_id").distinct()
-    from .common import materialise
-
     return docs.join(materialise(bad, "toxic"), "doc_id", "left_anti").select(*docs.columns)
