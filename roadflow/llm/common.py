@@ -75,6 +75,8 @@ def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None)
     for path in _written[mark:]:
         if keep is None or path != getattr(keep, "_folder", None):
             _delete(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is out of use
 
 
 def _give_back() -> None:

@@ -24,6 +24,7 @@ both.  Sets meet where they share such a part and are verified by their shingles
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_batches, materialise
+from .common import connected_components, discard, discard_since, map_batches, materialise, written
 from .decontaminate import window_hashes
 
 MAX_BITS = 2
@@ -39,8 +40,10 @@ MIN_MATCHES = 8 - MAX_BITS
 #: Words of a shingle and least Jaccard similarity of near copies; MAX_BITS belongs to the fingerprints alone.
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Rounds that link the sets of a part to one of them, before all pairs not yet connected are compared.
-LEADERS = 3
+#: Rounds that link the sets of a part to one of them, at most; and pairs of sets not yet connected, over the sets posted, up to which no more rounds are run.
+LEADERS, FEW_PAIRS = 4, 4
+#: Sets of one part that are compared with each other in one task, at most twice as many.
+BLOCK = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,30 +160,132 @@ def size_levels(similarity: float) -> list[int]:
     return out
 
 
-def signatures(hashes: np.ndarray, similarity: float, levels: list[int]) -> np.ndarray:
-    """Signed 64-bit hashes of the set's parts; sets of at least ``similarity`` have one in common.
+def _parts(level: int, similarity: float, levels: list[int]) -> tuple[int, int]:
+    """The most shingles that two similar sets on a level differ in, and the parts that sets are dealt to there."""
+    k = int(2 * levels[level] * (1 - similarity) / (1 + similarity) + 1e-9)
+    return k, k + 1 + (k * 3 // 20 + 6 if k else 0)  # more than k + 1, for some stay empty
+
+
+def signatures(hashes: np.ndarray, similarity: float, levels: list[int]) -> tuple[np.ndarray, bytes]:
+    """Signed 64-bit hashes of the set's parts, of which similar sets have one in common, and its sketch.
 
     A set is posted on its own level and on the next.  On a level two similar
-    sets differ in at most k shingles, so at least m - k of its m parts agree;
-    empty parts are posted only by sets that have no more than k others.
+    sets differ in at most k shingles, so at least m - k of its m parts agree.
+    The k + 1 largest parts are posted (of equal ones those of larger hash): of
+    the parts that agree the last in this order has at most k parts after it in
+    either set.  Large parts are rarely shared by chance.  The sketch holds a byte of each part, in order: those of similar sets agree in
+    m - k places at least.
     """
     if not len(hashes):
-        return np.empty(0, np.int64)
-    out, x = [], _mixed(hashes)
+        return np.empty(0, np.int64), b""
+    out, sketch, x = [], b"", _mixed(hashes)
     own = bisect_left(levels, len(hashes))
     for level in (own, own + 1):
-        k = int(2 * levels[level] * (1 - similarity) / (1 + similarity) + 1e-9)
-        m = k + 1 + (k * 3 // 20 + 6 if k else 0)
+        k, m = _parts(level, similarity, levels)
         part = (x >> np.uint64(20)) % np.uint64(m)
         order = np.argsort(part, kind="stable")
         part = part[order]
         starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         at, sums = part[starts], np.add.reduceat(_mixed(x[order]), starts)
+        brief = np.zeros(m, np.uint8)
+        brief[at] = (_mixed(sums) >> np.uint64(56)).astype(np.uint8)
+        sketch += brief.tobytes()
+        size = np.append(starts[1:], len(part)) - starts
         if len(at) <= k:
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
-            at, sums = np.append(at, empty), np.append(sums, np.zeros(len(empty), np.uint64))
-        out.append(_mixed(sums ^ _mixed(at * np.uint64(64) + np.uint64(level + 1))))
-    return np.concatenate(out).view(np.int64)
+            at, sums, size = np.append(at, empty), np.append(sums, np.zeros(len(empty), np.uint64)), np.append(size, np.zeros(len(empty), np.int64))
+        post = _mixed(sums ^ _mixed(at * np.uint64(64) + np.uint64(level + 1)))
+        out.append(post[np.lexsort((post, size))[-k - 1 :]])
+    return np.concatenate(out).view(np.int64), sketch
+
+
+def may_be_similar(size: int, sketch: bytes, size2: int, sketch2: bytes, similarity: float, levels: list[int]) -> bool:
+    """False only for sets that are not similar: too few of their parts agree."""
+    if size > size2:
+        size, sketch, size2, sketch2 = size2, sketch2, size, sketch
+    a, b = bisect_left(levels, size), bisect_left(levels, size2)
+    if b > a + 1:
+        return False
+    k, m = _parts(b, similarity, levels)
+    skip = _parts(a, similarity, levels)[1] if b > a else 0
+    x, y = np.frombuffer(sketch, np.uint8, m, skip), np.frombuffer(sketch2, np.uint8, m)
+    return int(np.count_nonzero(x == y)) >= m - k
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float, levels: list[int]) -> DataFrame:
+    """The count filter: of the pairs of sets ``(u, v)`` those whose sketches agree often enough."""
+    u = classes.select(F.col("key").alias("u"), F.col("size").alias("a"), F.col("sketch").alias("x"))
+    v = classes.select(F.col("key").alias("v"), F.col("size").alias("b"), F.col("sketch").alias("y"))
+
+    def run(batches):
+        for b in batches:
+            fine = [may_be_similar(*row, similarity, levels) for row in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(fine, pa.bool_()))
+
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "a", "x", "b", "y").transform(map_batches, run, "u long, v long")
+
+
+def _met(a: list[tuple], b: list[tuple] | None, post: int, similarity: float, levels: list[int]) -> Iterator[tuple[int, int]]:
+    """Plausible pairs ``(u, v)`` among ``a``, or between ``a`` and ``b``, whose first common post is ``post``.
+
+    A member is ``(key, size, comp, sketch, its posts in order)``.
+    """
+    both = a if b is None else [*a, *b]
+    level = max(bisect_left(levels, x[1]) for x in both)
+    k, m = _parts(level, similarity, levels)
+
+    def part(x: tuple) -> np.ndarray:
+        own = bisect_left(levels, x[1])
+        return np.frombuffer(x[3], np.uint8, m, 0 if own == level else _parts(own, similarity, levels)[1])
+
+    other = a if b is None else b
+    table = np.stack([part(x) for x in other])
+    size, comp = np.array([x[1] for x in other]), np.array([x[2] for x in other])
+    posts = [set(x[4]) for x in other]
+    for i, x in enumerate(a):
+        near = (table == part(x)).sum(axis=1) >= m - k
+        near &= (comp != x[2]) & (np.minimum(size, x[1]) >= (similarity - 1e-9) * np.maximum(size, x[1]))
+        if b is None:
+            near[: i + 1] = False
+        for j in np.flatnonzero(near).tolist():
+            if min(posts[j].intersection(x[4])) == post:
+                yield min(x[0], other[j][0]), max(x[0], other[j][0])
+
+
+def _all_plausible(posts: DataFrame, classes: DataFrame, similarity: float, levels: list[int]) -> DataFrame:
+    """Plausible pairs ``(u, v)`` of the sets of each post that are not yet connected, each once, at its first common post.
+
+    The sets of a post are dealt to blocks and pairs of blocks to tasks; only the pairs found leave a task.
+    """
+    own = posts.groupBy("key").agg(F.array_sort(F.collect_list("post")).alias("own"))  # bounded by one document's parts
+    rows = posts.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("post")) / BLOCK).cast("int"))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("post", "key", "comp", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), "b")
+    rows = rows.join(own, "key").join(classes.select("key", "size", "sketch"), "key")
+    n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("post", "i", "j", "b", "key", "size", "comp", "sketch", "own").repartition(n, "post", "i", "j").sortWithinPartitions("post", "i", "j")
+
+    def run(batches):
+        def out(at, held):
+            post, i, j = at
+            a, b = [x[1:] for x in held if x[0] == i], [x[1:] for x in held if x[0] == j]
+            pairs = list(_met(a, None if i == j else b, post, similarity, levels)) if a and b else []
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], names=["u", "v"])
+
+        at, held = None, []
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            for post, i, j, *rest in zip(*cols, strict=True):
+                if (post, i, j) != at:
+                    if len(held) > 1:
+                        yield from out(at, held)
+                    at, held = (post, i, j), []
+                held.append(rest)
+        if len(held) > 1:
+            yield from out(at, held)
+
+    return rows.transform(map_batches, run, "u long, v long")
 
 
 def _verified(pairs: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
@@ -205,7 +310,9 @@ def near_copies(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARIT
 
     ``component_id`` is the smallest doc_id reachable over documents whose sets
     of ``n``-word shingles have a Jaccard similarity of at least ``similarity``.
-    Null, empty and blank texts are copies of each other.
+    Null, empty and blank texts are copies of each other; texts of any length are
+    read whole; repeated rows are one class; extra columns are ignored; an empty
+    table gives no rows.
     """
     levels = size_levels(similarity)
     src = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -219,17 +326,25 @@ def near_copies(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARIT
                 part = b.slice(start, 1000)
                 sets = [shingles(t.as_py(), n, cache) for t in part.column(1)]
                 keys = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-                posts = [signatures(h, similarity, levels) for h in sets]
-                ends = np.cumsum([0, *map(len, posts)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(posts), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([len(h) for h in sets], pa.int64()), lists], names=["doc_id", "key", "size", "posts"])
-
-    sets = materialise(src.transform(map_batches, post, "doc_id long, key long, size long, posts array<long>"), "near-sets")
-    classes = materialise(sets.groupBy("key").agg(F.min("doc_id").alias("first_id")), "near-classes")
+                signed = [signatures(h, similarity, levels) for h in sets]
+                ends = np.cumsum([0, *(len(x) for x, _ in signed)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x for x, _ in signed]), pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(keys), pa.array([len(h) for h in sets], pa.int64()), pa.array([x for _, x in signed], pa.binary()), lists],
+                    names=["doc_id", "key", "size", "sketch", "posts"],
+                )
+
+    signed = materialise(src.transform(map_batches, post, "doc_id long, key long, size long, sketch binary, posts array<long>"), "near-signed")
+    sets = materialise(signed.select("doc_id", "key"), "near-sets")
     by_post = Window.partitionBy("post")
-    posts = sets.select("key", "size", F.explode("posts").alias("post"))
+    posts = signed.select("key", F.explode("posts").alias("post"))
     posts = posts.withColumn("low", F.min("key").over(by_post)).withColumn("high", F.max("key").over(by_post)).where("low < high")
-    posts = materialise(posts.select("key", "size", "post").distinct(), "near-posts")
+    shared = materialise(posts.select("key", "post").distinct(), "near-shared")
+    classes = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"))
+    classes = materialise(classes, "near-classes")
+    discard(signed)
+    posts = materialise(shared.join(classes.select("key", "size"), "key"), "near-posts")
+    discard(shared)
 
     def expand(batches):
         import xxhash
@@ -240,33 +355,48 @@ def near_copies(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARIT
             same = [xxhash.xxh3_64_intdigest(h) == k % (1 << 64) for h, k in zip(found, b.column(0).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["key", "hashes"]).filter(pa.array(same, pa.bool_()))
 
-    wanted = posts.select("key").distinct().join(classes, "key").select("key", F.col("first_id").alias("doc_id"))
-    # a repeated doc_id may have other texts, which expand leaves out
-    rows = src.join(wanted, "doc_id").select("key", "text")
-    hashes = materialise(rows.transform(map_batches, expand, "key long, hashes binary").dropDuplicates(["key"]), "near-hashes")
     found = comps = tried = None
     for k in range(LEADERS + 1):
+        old = posts
         if comps is not None:
             posts = posts.select("key", "size", "post").join(comps, posts.key == comps.node, "left").withColumn("comp", F.coalesce("component", "key")).drop("node", "component")
         else:
             posts = posts.withColumn("comp", F.col("key"))
         posts = posts.withColumn("low", F.min("comp").over(by_post)).withColumn("high", F.max("comp").over(by_post)).where("low < high")
         posts = materialise(posts.select("key", "size", "post", "comp"), "near-posts")
-        if posts.isEmpty():
+        discard(old)
+        own = posts.groupBy("post", "comp").count().groupBy("post").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
+        rows, cross = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0))).first()
+        if not rows:
             break
-        if k < LEADERS:
+        last = k == LEADERS or cross <= FEW_PAIRS * rows
+        if not last:
+            # for each set and round some other sets of its posts: of each post the one that comes first in an order of the round's own
             lead = F.min(F.struct(F.xxhash64("key", F.lit(k)), "key", "size", "comp")).over(by_post)
             pairs = posts.withColumn("lead", lead).select("key", "size", "comp", F.col("lead.key").alias("key2"), F.col("lead.size").alias("size2"), F.col("lead.comp").alias("comp2"))
+            pairs = pairs.where((F.col("comp") != F.col("comp2")) & (F.least("size", "size2") >= F.lit(similarity - 1e-9) * F.greatest("size", "size2")))
+            pairs = pairs.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct()
+            pairs = materialise(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "near-pairs")
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            likely = materialise(_plausible(pairs, classes, similarity, levels), "near-likely")
         else:
-            other = posts.select("post", F.col("key").alias("key2"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
-            pairs = posts.join(other, "post").where("key < key2")
-        pairs = pairs.where((F.col("comp") != F.col("comp2")) & (F.least("size", "size2") >= F.lit(similarity - 1e-9) * F.greatest("size", "size2")))
-        pairs = pairs.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "near-pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        linked = materialise(_verified(pairs, hashes, similarity), "near-links")
-        found = linked if found is None else found.unionByName(linked)
-        comps = materialise(connected_components(found, "near-cc"), "near-cc")
+            likely = _all_plausible(posts, classes, similarity, levels)
+            likely = materialise(likely if tried is None else likely.join(tried, ["u", "v"], "left_anti"), "near-likely")
+        if likely.isEmpty():
+            if last:
+                break
+            continue
+        wanted = likely.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "first_id"), "key")
+        # a repeated doc_id may have other texts, which expand leaves out
+        rows = src.join(wanted.select("key", F.col("first_id").alias("doc_id")), "doc_id").select("key", "text")
+        hashes = materialise(rows.transform(map_batches, expand, "key long, hashes binary").dropDuplicates(["key"]), "near-hashes")
+        linked = materialise(_verified(likely, hashes, similarity), "near-links")
+        discard(hashes, likely)
+        if not linked.isEmpty():
+            found = linked if found is None else found.unionByName(linked)
+            comps = materialise(connected_components(found, "near-cc"), "near-cc")
+        if last:
+            break
     if comps is None:
         named = classes.withColumn("root", F.col("key"))
     else:
@@ -274,7 +404,7 @@ def near_copies(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARIT
     named = materialise(named.select("key", "root", "first_id"), "near-root")
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     table = materialise(named.join(lowest, "root").select("key", "component_id"), "near-class")
-    return sets.select("doc_id", "key").join(table, "key").select("doc_id", "component_id")
+    return sets.join(table, "key").select("doc_id", "component_id")
 
 
 def keep_one_each(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -283,5 +413,7 @@ def keep_one_each(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILAR
     Near duplicates are those of ``near_copies``.  Rows that repeat one doc_id
     count as one document and stay or go together; rows with a null doc_id stay.
     """
-    gone = near_copies(docs, n, similarity).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialise(gone, "simhash-gone"), "doc_id", "left_anti").select(*docs.columns)
+    mark = written()
+    gone = materialise(near_copies(docs, n, similarity).where("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
+    discard_since(docs.sparkSession, mark, gone)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
