@@ -79,6 +79,14 @@ def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None)
     spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is out of use
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column (case does not count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def _give_back() -> None:
     """Hand freed memory back to the system: workers are reused by later tasks and stages."""
     gc.collect()

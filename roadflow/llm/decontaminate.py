@@ -21,15 +21,17 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise
+from .common import discard_since, map_batches, materialise, written
 
 WIDTH = 5
 SHARE = 0.5
 #: Benchmark windows (8 bytes each) that one block holds, at most.
-BLOCK = 2_000_000
+BLOCK = 4_000_000
+#: Tokens of an item that may stand anywhere in a document; shorter ones count where they are all of it.
+LEAST = 3
 
 #: Units that become a typed placeholder after a number.
 UNITS = frozenset(
@@ -39,41 +41,54 @@ UNITS = frozenset(
 )
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n:;\"“”|%$€£°]")
 _END = frozenset('.!?\n:;"“”|')
-_SIGN = frozenset("%$€£°")
+_SIGN, _CURRENCY = frozenset("%$€£°"), frozenset("$€£")
+#: The unit that a sign or an irregular plural stands for.
+_WORDS = {"%": "percent", "$": "dollar", "€": "euro", "£": "pound", "°": "degree", "feet": "foot", "inches": "inch"}
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 
+def _unit(word: str) -> str:
+    """One form of a unit: singular; the word for a sign."""
+    word = _WORDS.get(word, word)
+    return word[:-1] if word.endswith("s") and word[:-1] in UNITS else word
+
+
 def template(text: str | None) -> tuple[list[str], list[str | None], list[int]]:
     """Template tokens, beside each the value that its placeholder stands for (None for plain words), and the places of words that may be names.
 
     A number is digits with inner points or commas; a unit is a known unit word
-    or sign right after (a currency sign: right before) a number; a name is a
-    capitalised word with lower-case letters that neither begins a sentence or
-    line nor follows a token that does; one that does is a plain word that may be a name.
+    or sign right after a number, or a currency sign right before it (it then
+    follows its number in the template, so that "$9" and "9 dollars" are one); a
+    name is a capitalised word with lower-case letters that does not begin a
+    sentence or line; one that does is a plain word that may be a name.
     """
     out: list[str] = []
     values: list[str | None] = []
     heads: list[int] = []
-    begins, number = True, False
+    begins, number, sign = True, False, ""
     for tok in _TOKEN.findall(text or ""):
         if tok in _END:
-            begins, number = True, False
+            begins, number, sign = True, False, ""
             continue
         if tok in _SIGN:
             if number:
                 out.append(UNIT)
-                values.append(tok)
+                values.append(_unit(tok))
+            sign = tok if not number and tok in _CURRENCY else ""
             number = False
             continue
         low = tok.lower()
         if tok[0].isdigit():
             out.append(NUM)
             values.append(tok)
-            number, begins = True, False
+            if sign:
+                out.append(UNIT)
+                values.append(_unit(sign))
+            number, begins, sign = not sign, False, ""
             continue
         if number and low in UNITS:
             out.append(UNIT)
-            values.append(low)
+            values.append(_unit(low))
         elif tok[0].isupper() and not tok.isupper() and len(tok) > 1:
             if begins:
                 heads.append(len(out))
@@ -82,20 +97,85 @@ def template(text: str | None) -> tuple[list[str], list[str | None], list[int]]:
         else:
             out.append(low)
             values.append(None)
-        number = begins = False
+        number, begins, sign = False, False, ""
     return out, values, heads
 
 
+def _code(token: str) -> int:
+    return xxhash.xxh64_intdigest(token, 11) & ~15
+
+
+#: What a token is, in the low bits of its code.
+_IS_END, _IS_SIGN, _IS_NUM, _IS_WORD, _MAY_UNIT, _MAY_NAME = 0, 1, 2, 3, 4, 8
+_NUM_CODE, _UNIT_CODE, _NAME_CODE = (np.uint64(_code(x)) for x in (NUM, UNIT, NAME))
+
+
+def _kind(tok: str) -> int:
+    if tok in _END:
+        return _IS_END
+    if tok in _SIGN:
+        return _IS_SIGN | (_MAY_UNIT if tok in _CURRENCY else 0)
+    if tok[0].isdigit():
+        return _IS_NUM
+    low = tok.lower()
+    name = tok[0].isupper() and not tok.isupper() and len(tok) > 1
+    return _code(low) | _IS_WORD | (_MAY_UNIT if low in UNITS else 0) | (_MAY_NAME if name else 0)
+
+
+def template_codes(text: str | None, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the tokens of ``template`` and the places of words that may be names, without the values."""
+    toks = _TOKEN.findall(text or "")
+    if not toks:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    kinds = list(map(cache.get, toks))
+    if None in kinds:
+        if len(cache) > 300_000:
+            cache.clear()
+        for k, c in enumerate(kinds):
+            if c is None:
+                kinds[k] = c = _kind(toks[k])
+                if len(toks[k]) < 40:
+                    cache[toks[k]] = c
+    x = np.array(kinds, np.uint64)
+    kind, unit, name = x & np.uint64(3), x & np.uint64(_MAY_UNIT) > 0, x & np.uint64(_MAY_NAME) > 0
+    prev = np.append(np.uint64(_IS_END), kind[:-1])
+    # a number takes a currency sign right before it, unless that is the unit of the number before
+    sign = kind == _IS_SIGN
+    after = sign & (prev == _IS_NUM)
+    money = sign & unit
+    if (money[2:] & money[:-2] & after[2:]).any():  # "$5$6": whose sign it is depends on what came before
+        toks, _, heads = template(text)
+        return np.array([_code(t) for t in toks], np.uint64), np.array(heads, np.int64)
+    taken = np.flatnonzero(money[:-1] & ~after[:-1] & (kind[1:] == _IS_NUM))
+    free = np.ones(len(x), bool)
+    free[taken + 1] = False  # such a number has its unit
+    unit_sign = after & np.append(True, free[:-1])
+    # words begin a sentence where the last token but signs ends one
+    real = np.flatnonzero(~sign)
+    begins = np.zeros(len(x), bool)
+    begins[real] = np.append(True, kind[real] == _IS_END)[: len(real)]
+    is_unit = (kind == _IS_WORD) & unit & (prev == _IS_NUM) & np.append(True, free[:-1])
+    head = (kind == _IS_WORD) & name & ~is_unit & begins
+    out = x & ~np.uint64(15)
+    out[kind == _IS_NUM] = _NUM_CODE
+    out[is_unit | unit_sign] = _UNIT_CODE
+    out[(kind == _IS_WORD) & name & ~is_unit & ~begins] = _NAME_CODE
+    out[taken], out[taken + 1] = _NUM_CODE, _UNIT_CODE  # the sign's place goes to the number
+    keep = (kind >= _IS_NUM) | unit_sign
+    keep[taken] = True
+    return out[keep], np.flatnonzero(head[keep])
+
+
 def window_hashes(tokens: list[str], width: int, cache: dict[str, int] | None = None) -> np.ndarray:
     """Signed 64-bit hashes of all windows; fewer tokens than ``width`` make one window, none make none."""
-    return _hashes(_codes(tokens, cache), width)
+    return _hashes(_codes(tokens, cache), min(width, len(tokens)))
 
 
 def _codes(tokens: list[str], cache: dict[str, int] | None = None) -> np.ndarray:
     cache = {} if cache is None else cache
     codes = list(map(cache.get, tokens))
     if None in codes:
-        if len(cache) > 150_000:
+        if len(cache) > 300_000:
             cache.clear()
         for k, c in enumerate(codes):
             if c is None:
@@ -104,60 +184,62 @@ def _codes(tokens: list[str], cache: dict[str, int] | None = None) -> np.ndarray
 
 
 def _hashes(a: np.ndarray, width: int) -> np.ndarray:
-    if not len(a):
+    """Signed hashes of all windows of ``width`` codes."""
+    if not 0 < width <= len(a):
         return np.empty(0, np.int64)
-    width = min(width, len(a))
-    h = np.zeros(len(a) - width + 1, np.uint64)
+    h = np.full(len(a) - width + 1, width, np.uint64)
     for k in range(width):
         h = (h ^ a[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h.view(np.int64)
 
 
-_ROWS = "id long, h long, at int, slots string, key long, named int"
-_NAME_CODE = np.uint64(xxhash.xxh64_intdigest(NAME, 11))
+_ROWS = "id long, h long, at int, slots string, key long, named int, n int, total int"
 
 
-def _windows(df: DataFrame, id_col: str, text_col: str, width: int, block=None) -> DataFrame:
-    """``(id, h, at, slots, key, named)`` for each window of each row, or only those whose hash is in ``block`` (sorted, broadcast).
+def _windows(df: DataFrame, id_col: str, text_col: str, width: int, block=None, widths: tuple[int, ...] = ()) -> DataFrame:
+    """``(id, h, at, slots, key, named, n, total)`` for each window of each row, or only those whose hash is in ``block`` (sorted, broadcast).
 
-    A window with words that may be names comes twice: as plain words, and with
-    ``named`` 1 as names.  ``key`` is its hash as plain words.
+    Without a block a text shorter than ``width`` is a single window; with one,
+    windows of all ``widths`` are looked up.  A window with words that may be
+    names comes twice: as plain words, and with ``named`` 1 as names.  ``key`` is
+    its hash as plain words, ``n`` its tokens and ``total`` those of the text.
     """
 
     def run(batches):
         keep = block.value if block is not None else None
         cache: dict[str, int] = {}
         for b in batches:
-            ids, hs, ats, slots, keys, named = [], [], [], [], [], []
-
-            def add(i, h, plain, at, vals, kind) -> None:
-                if keep is not None and len(at):
-                    mine = h[at]
-                    at = at[keep[np.minimum(np.searchsorted(keep, mine), len(keep) - 1)] == mine]
-                for k in at.tolist():
-                    ids.append(i)
-                    hs.append(int(h[k]))
-                    ats.append(k)
-                    slots.append("\x1f".join(v for v in vals[k : k + width] if v is not None))
-                    keys.append(int(plain[k]))
-                    named.append(kind)
-
+            rows: list[list] = [[] for _ in range(8)]
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                toks, vals, heads = template(t.as_py())
-                codes = _codes(toks, cache)
-                h = _hashes(codes, width)
-                if not len(h):
+                text = t.as_py()
+                codes, heads = template_codes(text, cache)
+                found = []
+                for w in widths if keep is not None else (min(width, len(codes)),):
+                    plain = _hashes(codes, w)
+                    if not len(plain):
+                        continue
+                    found.append((w, plain, plain, np.arange(len(plain)), 0))
+                    if len(heads):
+                        named = codes.copy()
+                        named[heads] = _NAME_CODE
+                        other = _hashes(named, w)
+                        found.append((w, other, plain, np.flatnonzero(other != plain), 1))
+                if keep is not None:
+                    found = [(w, h, plain, at[keep[np.minimum(np.searchsorted(keep, h[at]), len(keep) - 1)] == h[at]], kind) for w, h, plain, at, kind in found]
+                if not any(len(x[3]) for x in found):
                     continue
-                add(i, h, h, np.arange(len(h)), vals, 0)
-                if heads:
-                    codes[heads] = _NAME_CODE
-                    other = _hashes(codes, width)
-                    for k in heads:
-                        vals[k] = toks[k]
-                    add(i, other, h, np.flatnonzero(other != h), vals, 1)
-            cols = ((ids, pa.int64()), (hs, pa.int64()), (ats, pa.int32()), (slots, pa.string()), (keys, pa.int64()), (named, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in cols], names=["id", "h", "at", "slots", "key", "named"])
+                toks, vals, _ = template(text)  # the values are wanted of few texts only
+                as_names = [toks[k] if v is None else v for k, v in enumerate(vals)]
+                head = set(heads.tolist())
+                for w, h, plain, at, kind in found:
+                    for k in at.tolist():
+                        inside = range(k, k + w)
+                        slots = [as_names[x] if kind and x in head else vals[x] for x in inside]
+                        for column, x in zip(rows, (i, int(h[k]), k, "\x1f".join(v for v in slots if v is not None), int(plain[k]), kind, w, len(codes)), strict=True):
+                            column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["id", "h", "at", "slots", "key", "named", "n", "total"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).transform(map_batches, run, _ROWS)
 
@@ -220,44 +302,61 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shar
     """``(doc_id, item_id, n_windows, n_matched, verbatim)``: the items found in each document.
 
     ``n_windows`` counts the item's distinct windows, ``n_matched`` those found;
-    ``verbatim`` tells whether all slots have the item's own values.  Items with
-    fewer than ``width`` tokens are a single window.  Null and empty texts
-    contain nothing and are contained nowhere; rows with a null id are not
-    judged; repeated rows of one id count as one; extra columns are ignored.
+    ``verbatim`` tells whether all slots have the item's own values.  An item with
+    fewer than ``width`` tokens is a single window and counts only verbatim: with
+    other values so short a template says nothing; under ``LEAST`` tokens it must
+    be the whole document.  Null and empty texts contain nothing and are
+    contained nowhere; rows with a null id are not judged; repeated rows of one
+    id count as one; texts of any length are read whole; extra columns are
+    ignored; an empty table gives no rows.
+
+    Candidates come from the rarest windows of an item, as many as leave fewer
+    than ``share`` of its windows: a document that holds enough holds one of
+    them.  So windows that a great many documents share are not joined.
     """
     spark = docs.sparkSession
     items = materialise(_windows(benchmark.where("item_id IS NOT NULL"), "item_id", "text", width).withColumnRenamed("id", "item_id"), "bench")
     keys = materialise(items.select("h").distinct(), "bench-keys")
     total = keys.count()
+    widths = tuple(sorted(r[0] for r in items.select("n").distinct().collect()))  # at most ``width`` rows
     found = None
     src = docs.where("doc_id IS NOT NULL")
     n_blocks = max(1, -(-total // BLOCK))
     for k in range(n_blocks):  # the benchmark is a stated query set: all documents meet it block by block
         part = keys.select("h") if n_blocks == 1 else keys.where(F.pmod("h", F.lit(n_blocks)) == k).select("h")
-        block = np.sort(np.array([r[0] for r in part.collect()], np.int64))  # bounded by the block size
+        block = np.sort(part.toArrow().column(0).to_numpy())  # bounded by the block size
         if not len(block):
             continue
-        hits = _windows(src, "doc_id", "text", width, spark.sparkContext.broadcast(block))
+        hits = _windows(src, "doc_id", "text", width, spark.sparkContext.broadcast(block), widths)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, n_windows long, n_matched long, verbatim boolean")
-    hits = found.select(F.col("id").alias("doc_id"), "h", F.col("at").alias("q"), F.col("slots").alias("filled"), F.col("named").alias("read"))
+    hits = found.select(F.col("id").alias("doc_id"), "h", F.col("at").alias("q"), F.col("slots").alias("filled"), F.col("named").alias("read"), "total")
     hits = materialise(hits.distinct(), "bench-hits")
-    sizes = items.groupBy("item_id").agg(F.countDistinct("key").alias("n_windows"), F.countDistinct("at").alias("positions"))
+    sizes = items.groupBy("item_id").agg(F.countDistinct("key").alias("n_windows"), F.countDistinct("at").alias("positions"), F.max("n").alias("width"))
     item_keys = items.select("item_id", "h", "key", F.col("at").alias("p"), "slots", "named").distinct()
     # of the places of an item's or document's window one is enough to count it
-    held = hits.select("doc_id", "h").distinct().join(item_keys.select("item_id", "h", "key").distinct(), "h")
-    counts = held.groupBy("doc_id", "item_id").agg(F.countDistinct("key").alias("n_matched")).join(sizes, "item_id")
-    enough = materialise(counts.where(F.col("n_matched") >= F.lit(share) * F.col("n_windows")), "bench-enough")
-    pairs = enough.select("doc_id", "item_id").join(item_keys, "item_id").join(hits, ["doc_id", "h"])
+    holds = hits.select("doc_id", "h").distinct()
+    frequent = holds.groupBy("h").agg(F.count("*").alias("df"))
+    ranked = item_keys.join(frequent, "h", "left").groupBy("item_id", "key").agg(F.sum(F.coalesce("df", F.lit(0))).alias("df"))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "key"))).join(sizes, "item_id")
+    probes = ranked.where(F.col("r") <= F.col("n_windows") - F.ceil(F.lit(share) * F.col("n_windows")) + 1).select("item_id", "key")
+    probes = materialise(probes.join(item_keys.select("item_id", "key", "h").distinct(), ["item_id", "key"]).select("item_id", "h").distinct(), "bench-probes")
+    candidates = materialise(holds.join(probes, "h").select("doc_id", "item_id").distinct(), "bench-candidates")
+    pairs = candidates.join(item_keys, "item_id").join(hits, ["doc_id", "h"])
     match = F.struct("key", "p", "q", F.greatest("named", "read").alias("named"), "slots", "filled")
-    matches = pairs.groupBy("doc_id", "item_id").agg(F.collect_set(match).alias("matches"))  # bounded by one document's windows
+    matches = pairs.groupBy("doc_id", "item_id").agg(F.collect_set(match).alias("matches"), F.countDistinct("key").alias("n_matched"), F.max("total").alias("total")).join(sizes, "item_id")
+    matches = matches.where(F.col("n_matched") >= F.lit(share) * F.col("n_windows"))  # a list is bounded by one document's windows
     judge = F.udf(lambda ms, least, positions: _judge([tuple(m) for m in ms], least, positions), "int")
-    judged = matches.join(enough, ["doc_id", "item_id"]).withColumn("verdict", judge("matches", F.lit(share) * F.col("n_windows"), "positions"))
-    return judged.select("doc_id", "item_id", "n_windows", "n_matched", "verdict").where("verdict > 0").withColumn("verbatim", F.col("verdict") == 2).drop("verdict")
+    judged = matches.withColumn("verdict", judge("matches", F.lit(share) * F.col("n_windows"), "positions"))
+    judged = judged.where((F.col("verdict") == 2) | ((F.col("verdict") == 1) & (F.col("width") >= width)))
+    judged = judged.where((F.col("width") >= min(LEAST, width)) | (F.col("total") == F.col("width")))
+    return judged.select("doc_id", "item_id", "n_windows", "n_matched", (F.col("verdict") == 2).alias("verbatim"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item; rows with a null id stay."""
+    mark = written()
     bad = materialise(contaminated(docs, benchmark).select("doc_id").distinct(), "bench-bad")
+    discard_since(docs.sparkSession, mark, bad)
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

@@ -21,11 +21,12 @@ distance to it is verified on the texts.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise
+from .common import discard_since, free_name, map_batches, materialise, written
 
 MIN_CHARS = 20
 #: Blocks of a line, of which two lines within one edit share all but one.
@@ -137,10 +138,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def _earliest_neighbours(docs: DataFrame, near: DataFrame) -> DataFrame:
     """``(h1, h2)`` of the classes in ``near`` that have a verified earlier neighbour."""
     # the lines are fetched from their documents by number: the texts aren't shuffled where the numbers are few
-    wanted = near.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.line_no").alias("wanted"))
-    src = _with_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), materialise(wanted, "line-wanted"), "wanted", "inner")
-    split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    rows = src.select("doc_id", "wanted", F.posexplode(split).alias("line_no", "line")).where(F.array_contains("wanted", F.col("line_no")))
+    wanted = materialise(near.select("first.doc_id", "first.line_no").distinct(), "line-wanted")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    few = wanted.count() <= FEW // 4
+    if not few:
+        src = src.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = src.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    rows = rows.join(F.broadcast(wanted) if few else wanted, ["doc_id", "line_no"])
     texts = rows.select(*_hashes(), "line").join(near, ["h1", "h2"]).select("h1", "h2", "first.doc_id", "first.line_no", "line").dropDuplicates(["h1", "h2"])
     texts = materialise(texts, "line-texts")
     close = materialise(_shared(texts, _all_but_a_block(F.col("line"), F.char_length("line"))), "line-close")
@@ -194,15 +198,30 @@ def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the removed lines cut from ``text`` (and ``n_chars`` brought up to date where there is one).
 
     A document all of whose lines go is a copy of earlier text and goes itself;
-    one that was empty from the start stays as it is.
+    one that was empty from the start stays as it is.  Columns of any name pass
+    unchanged; texts of any length are cut in linear time.
     """
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_list("line_no").alias("gone"))
+    mark = written()
+    number, changed = free_name(docs, "lines"), free_name(docs, "cut")
+    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_list("line_no").alias(number))
     gone = materialise(gone, "line-docs")
-    out = _with_lines(docs, gone, "gone", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i))
-    out = out.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
-    out = out.where("gone IS NULL OR exists(kept, x -> trim(x) <> '')")
-    out = out.withColumn("text", F.when(F.col("gone").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text")))
+    discard_since(docs.sparkSession, mark, gone)
+
+    @F.pandas_udf("string")
+    def rest(text: pd.Series, numbers: pd.Series) -> pd.Series:
+        out = []
+        for t, n in zip(text, numbers, strict=True):
+            if n is None:
+                out.append(None)
+                continue
+            drop = set(n.tolist())
+            kept = [x for k, x in enumerate(t.split("\n")) if k not in drop]
+            out.append("\n".join(kept) if any(x.strip(" ") for x in kept) else None)
+        return pd.Series(out, dtype=object)
+
+    hit = F.col(number).isNotNull()
+    out = _with_lines(docs, gone, number, "left").withColumn(changed, rest(F.when(hit, F.col("text")), F.col(number)))
+    out = out.where(~hit | F.col(changed).isNotNull()).withColumn("text", F.when(hit, F.col(changed)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(hit, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
