@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialise
 
 ALPHA = 0.4
-ORDER = 2
+ORDER = 3
 #: Bytes of text in a batch (the last one of a partition may be smaller).
 BATCH_BYTES = 10_000_000
 _WORD = re.compile(r"\w+")
@@ -117,6 +117,13 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[s
         yield part << 32 | k, ids, texts
 
 
+def _repeatable(df: DataFrame) -> bool:
+    """Whether ``df`` is a plain scan of files: each of its partitions has the same rows in the same order whenever it is read."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    nodes = re.findall(r"^[\s:+|-]*(?:\*\(\d+\)\s*)?(\w+)", plan, re.M)
+    return "FileScan" in nodes and set(nodes) <= {"FileScan", "Project", "Filter", "ColumnarToRow"}
+
+
 _COUNTS = "p int, n int, batch long, hashes binary, counts binary"
 _TOTALS = "batch long, n int, p int, totals binary, tokens long"
 
@@ -125,12 +132,12 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
     """``(doc_id, n_words, log_score, mean_log_score)`` for every row of ``docs``.
 
     Words are runs of letters, digits and underscores, lower-cased; the score is
-    the sum of the logarithms.  Null, empty and wordless texts have 0 words, a
+    the sum of the logarithms.  Texts of any length are read whole.  Null, empty and wordless texts have 0 words, a
     score of 0 and a null mean; repeated rows are documents of their own; null
     ids keep a row each; extra columns are ignored; an empty table gives no rows.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if "Exchange" in src._jdf.queryExecution().executedPlan().toString():
+    if not _repeatable(src):
         src = materialise(src, "lm-docs")  # batches must be the same in both passes
     src = src.withColumn("part", F.spark_partition_id())
     spark = docs.sparkSession

@@ -1,8 +1,9 @@
 """Personal data: fixed base detectors plus bootstrapped contextual extraction.
 
 The base detectors find e-mail addresses, IP addresses, card and phone numbers.
-Their finds are the seeds of a bootstrap: the words around a find are lexical
-patterns, every identifier-shaped token of the corpus is a possible instance, and
+Their finds and values shaped like keys (kind ``secret``, always added) are the
+seeds of a bootstrap: the words around a find and the name before ``=`` or ``:``
+in its own word are lexical patterns, every identifier-shaped token of the corpus is a possible instance, and
 Spark scores the bipartite pattern-instance graph iteratively.  A pattern is
 trusted as far as its distinct instances are known members of a kind; an
 instance is accepted when the trusted patterns it stands in, taken together,
@@ -17,12 +18,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialise
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kind of spans beyond the base: passwords, tokens and keys.
+SECRET = "secret"
 ROUNDS = 3
 #: Distinct instances of a pattern, at least; its share of known members; and the doubt left about an accepted instance.
 MIN_INSTANCES, MIN_PATTERN, MIN_INSTANCE = 5, 0.8, 0.8
@@ -34,6 +38,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"\S+")
 _DIGIT = re.compile(r"[0-9]")
+#: Seeds of secrets: access key ids, and hexadecimal values of 16 digits or more with letters among them.
+_KEY = re.compile(r"AKIA[0-9A-Z]{16}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,}")
 _EDGE = "\"'.,;:!?()[]{}<>|*#$%&"
 
 
@@ -73,16 +79,23 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def _context(words: list[tuple[int, int]], text: str, first: int, last: int) -> tuple[str, str]:
-    """The words before the first and after the last of the words ``first..last``, with their marks, digits as 0."""
+    """The words before the first and after the last of the words ``first..last``, with their marks, digits as 0; of marks alone with the word before them."""
 
     def norm(k: int) -> str:
-        return _DIGIT.sub("0", text[words[k][0] : words[k][1]].lower())[:40] if 0 <= k < len(words) else "\x02"
+        if not 0 <= k < len(words):
+            return "\x02"
+        word = _DIGIT.sub("0", text[words[k][0] : words[k][1]].lower())
+        # a very long word is told from others by its hash
+        return word if len(word) <= 40 else f"{word[:24]}#{xxhash.xxh64_hexdigest(word)}"
 
-    return norm(first - 1), norm(last + 1)
+    left = norm(first - 1)
+    if not any(c.isalnum() for c in left) and first > 1:
+        left = f"{norm(first - 2)} {left}"
+    return left, norm(last + 1)
 
 
 def occurrences(text: str) -> list[tuple[str | None, int, int, str, str, str]]:
-    """``(kind or None, start, end, value, left, right)`` of base spans and of other identifier-shaped tokens.
+    """``(kind or None, start, end, value, left, right)`` of base spans, of values shaped like keys and of other identifier-shaped tokens.
 
     Such a token has a digit or ``@`` and at least six characters after its outer
     marks are cut, and overlaps no base span.
@@ -104,11 +117,15 @@ def occurrences(text: str) -> list[tuple[str | None, int, int, str, str, str]]:
         word = text[s:e]
         if not ("@" in word or _DIGIT.search(word)):
             continue
+        left, right = _context(words, text, k, k)
+        at = max(word.rfind("="), word.rfind(":")) + 1
+        if at > 1 and len(word) - at >= 6:  # a name and its value in one word
+            left, s, word = word[:at].lower().lstrip(_EDGE), s + at, word[at:]
         cut = word.lstrip(_EDGE)
         s += len(word) - len(cut)
         cut = cut.rstrip(_EDGE)
         if len(cut) >= 6 and ("@" in cut or _DIGIT.search(cut)):
-            out.append((None, s, s + len(cut), cut.lower(), *_context(words, text, k, k)))
+            out.append((SECRET if _KEY.fullmatch(cut) else None, s, s + len(cut), cut.lower(), left, right))
     return out
 
 
@@ -129,14 +146,17 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").transform(map_batches, run, f"doc_id long, row long, occ {_OCC}")
 
 
+def _patterns():
+    return F.array(F.concat(F.lit("l "), "left"), F.concat(F.lit("r "), "right"), F.concat(F.lit("b "), F.col("left"), F.lit(" "), F.col("right")))
+
+
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``(pattern, value, kind)``: accepted instances, each with the trusted patterns it stands in.
 
     ``found(kind, value, left, right)`` has a row an occurrence; ``kind`` is null
     where no base detector knows it.
     """
-    two = F.array(F.concat(F.lit("l "), "left"), F.concat(F.lit("r "), "right"), F.concat(F.lit("b "), F.col("left"), F.lit(" "), F.col("right")))
-    edges = materialise(found.select("value", F.explode(two).alias("pattern")).distinct(), "pii-edges")
+    edges = materialise(found.select("value", F.explode(_patterns()).alias("pattern")).distinct(), "pii-edges")
     sizes = materialise(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_INSTANCES), "pii-sizes")
     edges = materialise(edges.join(sizes, "pattern"), "pii-edges")
     seeds = materialise(found.where("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("s")).distinct(), "pii-seeds")
@@ -156,16 +176,18 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def find(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, spans, added)`` for every row of ``docs``: base spans and added ones, arrays of ``(kind, start, end)``.
 
-    Offsets are code points, ends exclusive; both arrays are ordered by kind (as
-    in ``KINDS``), then start.  Null texts are empty; repeated rows and null ids
-    keep a row each; extra columns are ignored; an empty table gives no rows.
+    Offsets are code points, ends exclusive; ``ordered`` sorts by kind (as in
+    ``KINDS``, then ``secret``), then start.  Null texts are empty; texts of any
+    length are read whole; repeated rows and null ids keep a row each; extra columns are ignored; an empty table gives no rows.
     """
     scan = materialise(_scan(docs), "pii-scan")
     flat = scan.where(F.size("occ") > 0).select("row", F.explode("occ").alias("o")).select("row", "o.*")
-    accepted = bootstrap(flat, rounds).select("value", F.col("kind").alias("as_kind")).distinct()
-    new = flat.where("kind IS NULL").join(accepted, "value").select("row", F.struct(F.col("as_kind").alias("kind"), "start", "end").alias("span"))
+    accepted = bootstrap(flat, rounds).withColumnRenamed("kind", "as_kind")
+    met = flat.where("kind IS NULL").select("row", "start", "end", "value", F.explode(_patterns()).alias("pattern")).join(accepted, ["pattern", "value"])
+    seeds = flat.where(F.col("kind") == SECRET).select("row", F.struct("kind", "start", "end").alias("span"))
+    new = met.select("row", F.struct(F.col("as_kind").alias("kind"), "start", "end").alias("span")).unionByName(seeds)
     new = materialise(new.groupBy("row").agg(F.collect_set("span").alias("added")), "pii-added")  # bounded by one document's tokens
-    base = F.transform(F.filter("occ", lambda o: o["kind"].isNotNull()), lambda o: F.struct(o["kind"].alias("kind"), o["start"].alias("start"), o["end"].alias("end")))
+    base = F.transform(F.filter("occ", lambda o: o["kind"].isin(*KINDS)), lambda o: F.struct(o["kind"].alias("kind"), o["start"].alias("start"), o["end"].alias("end")))
     out = scan.join(new, "row", "left")
     return out.select("doc_id", base.alias("spans"), F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("added"))
 
@@ -176,6 +198,6 @@ def count_of(spans, kind: str):
 
 def ordered(spans):
     """``kind:start:end`` by kind as listed, then start, comma-joined."""
-    place = F.create_map(*[x for k, v in enumerate(KINDS) for x in (F.lit(v), F.lit(k))])
+    place = F.create_map(*[x for k, v in enumerate((*KINDS, SECRET)) for x in (F.lit(v), F.lit(k))])
     keyed = F.array_sort(F.transform(spans, lambda s: F.struct(F.element_at(place, s["kind"]).alias("k"), s["start"].alias("s"), s["end"].alias("e"), s["kind"].alias("kind"))))
     return F.array_join(F.transform(keyed, lambda s: F.concat_ws(":", s["kind"], s["s"].cast("string"), s["e"].cast("string"))), ",")

@@ -35,7 +35,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [pii.count_of(F.col("spans"), k).alias(f"n_{k}") for k in pii.KINDS]
     whole = pii.ordered(F.concat("spans", "added"))
-    return found.select("doc_id", *counts, F.sha2(pii.ordered(F.col("spans")), 256).alias("base_sha256"), whole.alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select("doc_id", *counts, F.sha2(pii.ordered(F.col("spans")), 256).alias("base_sha256"), whole.alias("spans"), F.size("added").cast("long").alias("n_added"), pii.count_of(F.col("added"), pii.SECRET).alias("n_secret"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id",
-        (~toxicity.in_training(F.col("doc_id"))).alias("held_out"),
+        F.coalesce(~toxicity.in_training(F.col("doc_id")), F.lit(True)).alias("held_out"),  # a row without an id is never learnt from
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "n_spans",

@@ -23,6 +23,7 @@ toks AS (
   FROM parts),
 known AS (SELECT doc_id, min(quality) = 0 AS bad FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 labelled AS (SELECT row_number() OVER () AS b, t.tokens, k.bad FROM toks t JOIN known k ON t.page_id = k.doc_id),
+base AS (SELECT count(*) FILTER (bad) / count(*)::DOUBLE AS p FROM labelled),
 items AS (SELECT b, bad, unnest(tokens) AS t FROM labelled),
 sets AS (
   SELECT b, bad, [t] AS s FROM items
@@ -31,7 +32,9 @@ sets AS (
 rules AS (
   SELECT s, count(*) FILTER (bad) / count(*)::DOUBLE AS confidence FROM sets GROUP BY s
   HAVING count(*) FILTER (bad) >= ceil(greatest({urls.MIN_SUPPORT}::DOUBLE, {urls.MIN_ROWS}.0::DOUBLE / (SELECT count(*) FROM labelled)) * (SELECT count(*) FROM labelled))
-     AND count(*) FILTER (bad) / count(*)::DOUBLE >= {urls.MIN_CONFIDENCE}),
+     AND count(*) FILTER (bad) / count(*)::DOUBLE >= (SELECT least({urls.MIN_CONFIDENCE}::DOUBLE, {urls.MIN_LIFT}::DOUBLE * p) FROM base)
+     AND 2 * (count(*) FILTER (bad) * ln(count(*) FILTER (bad) / count(*)::DOUBLE / (SELECT p FROM base))
+       + coalesce(count(*) FILTER (NOT bad) * ln(nullif(count(*) FILTER (NOT bad), 0) / count(*)::DOUBLE / (SELECT 1 - p FROM base)), 0)) >= {urls.MIN_EVIDENCE}),
 least AS (
   SELECT * FROM rules r WHERE NOT EXISTS (SELECT 1 FROM rules q WHERE len(q.s) < len(r.s) AND list_has_all(r.s, q.s))),
 hits AS (SELECT t.page_id, t.url, max(confidence) AS confidence FROM (SELECT DISTINCT page_id, url, tokens FROM toks) t JOIN least r ON list_has_all(t.tokens, r.s) GROUP BY ALL),
@@ -77,17 +80,21 @@ FROM documents d LEFT JOIN per p ON d.doc_id = p.doc_id
 
 _LM = """
 WITH w AS (SELECT doc_id, generate_subscripts(ws, 1) AS p, unnest(ws) AS w FROM (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+'), lambda x: lower(x)) AS ws FROM documents)),
-g AS (SELECT doc_id, p, w, lag(w) OVER (PARTITION BY doc_id ORDER BY p) AS c FROM w),
+g AS (SELECT doc_id, p, w, lag(w) OVER o AS c, lag(w, 2) OVER o AS d FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
 total AS (SELECT count(*) AS n FROM w), size AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
-u AS (SELECT w, count(*) AS n FROM w GROUP BY w), uo AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY doc_id, w),
-b AS (SELECT c, w, count(*) AS n FROM g WHERE c IS NOT NULL GROUP BY c, w), bo AS (SELECT doc_id, c, w, count(*) AS n FROM g WHERE c IS NOT NULL GROUP BY doc_id, c, w),
+uo AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY doc_id, w), u AS (SELECT w, sum(n) AS n FROM uo GROUP BY w),
+bo AS (SELECT doc_id, c, w, count(*) AS n FROM g WHERE c IS NOT NULL GROUP BY doc_id, c, w), b AS (SELECT c, w, sum(n) AS n FROM bo GROUP BY c, w),
+t_o AS (SELECT doc_id, d, c, w, count(*) AS n FROM g WHERE d IS NOT NULL GROUP BY doc_id, d, c, w), t AS (SELECT d, c, w, sum(n) AS n FROM t_o GROUP BY d, c, w),
+us AS (SELECT doc_id, w, u.n - uo.n AS n FROM uo JOIN u USING (w)), bs AS (SELECT doc_id, c, w, b.n - bo.n AS n FROM bo JOIN b USING (c, w)),
+ts AS (SELECT doc_id, d, c, w, t.n - t_o.n AS n FROM t_o JOIN t USING (d, c, w)),
 x AS (
-  SELECT g.doc_id, u.n - uo.n AS nu, b.n - bo.n AS nb, cu.n - co.n AS nc, greatest(1, total.n - size.n)::DOUBLE AS rest
-  FROM g JOIN total ON true JOIN size USING (doc_id) JOIN u USING (w) JOIN uo ON g.doc_id = uo.doc_id AND g.w = uo.w
-  LEFT JOIN b ON g.c = b.c AND g.w = b.w LEFT JOIN bo ON g.doc_id = bo.doc_id AND g.c = bo.c AND g.w = bo.w
-  LEFT JOIN u cu ON g.c = cu.w LEFT JOIN uo co ON g.doc_id = co.doc_id AND g.c = co.w),
-s AS (SELECT doc_id, sum(ln(CASE WHEN coalesce(nb, 0) > 0 THEN nb / nc::DOUBLE ELSE (CASE WHEN c IS NULL THEN 1.0 ELSE 0.4 END)::DOUBLE * (CASE WHEN nu > 0 THEN nu / rest ELSE 0.4::DOUBLE / rest END) END)) AS t, count(*) AS n
-  FROM (SELECT *, CASE WHEN nb IS NULL THEN NULL ELSE 1 END AS c FROM x) GROUP BY doc_id)
+  SELECT g.doc_id, g.c, g.d, us.n AS nu, bs.n AS nb, uc.n AS nc, ts.n AS nt, bc.n AS nd, greatest(1, total.n - size.n)::DOUBLE AS rest
+  FROM g JOIN total ON true JOIN size USING (doc_id) JOIN us ON g.doc_id = us.doc_id AND g.w = us.w
+  LEFT JOIN bs ON g.doc_id = bs.doc_id AND g.c = bs.c AND g.w = bs.w LEFT JOIN us uc ON g.doc_id = uc.doc_id AND g.c = uc.w
+  LEFT JOIN ts ON g.doc_id = ts.doc_id AND g.d = ts.d AND g.c = ts.c AND g.w = ts.w LEFT JOIN bs bc ON g.doc_id = bc.doc_id AND g.d = bc.c AND g.c = bc.w),
+s1 AS (SELECT *, CASE WHEN nu > 0 THEN nu / rest ELSE 0.4::DOUBLE / rest END AS a FROM x),
+s2 AS (SELECT *, CASE WHEN c IS NULL THEN a WHEN nb > 0 THEN nb / nc::DOUBLE ELSE 0.4::DOUBLE * a END AS e FROM s1),
+s AS (SELECT doc_id, sum(ln(CASE WHEN d IS NULL THEN e WHEN nt > 0 THEN nt / nd::DOUBLE ELSE 0.4::DOUBLE * e END)) AS t, count(*) AS n FROM s2 GROUP BY doc_id)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_words, round(coalesce(s.t, 0.0::DOUBLE), 6) AS log_score, round(s.t / s.n, 9) AS mean_log_score
 FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id
 """

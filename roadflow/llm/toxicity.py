@@ -4,7 +4,8 @@ Documents carry one label each, so token labels are derived first: a token of a
 toxic document counts as toxic where its word, or a prefix of it, is found in
 toxic documents far more often than in clean ones.  A two-state chain over the
 tokens of a line is then fitted by gradient descent on its exact likelihood
-(forward-backward), with hashed word and prefix features.  Scoring runs
+(forward-backward), with the token's word and prefixes and the words before and
+after it as features.  Scoring runs
 forward-backward over every line of every document; marginals are aggregated to
 a calibrated document score, and runs of tokens with a marginal of one half or
 more are the offending spans.
@@ -35,10 +36,9 @@ PREFIXES = (4, 5, 6)
 
 @dataclass(frozen=True)
 class Settings:
-    sample: int = 1500  # labelled rows of each class that the model is fitted on, at most
+    sample: int = 600  # labelled rows of each class that the model is fitted on, at most
     min_docs: int = 3  # toxic documents that a tell-tale word or prefix is in, at least
     min_odds: float = 12.0  # its document rate in toxic over clean documents, at least
-    clean_lines: float = 0.04  # share of the lines without toxic tokens that the chain is fitted on
     rounds: int = 60
     step: float = 0.5
     l2: float = 1e-5
@@ -51,6 +51,9 @@ def _names(word: str) -> list[str]:
     return [w, *(w[:n] + "*" for n in PREFIXES if len(w) >= n)]
 
 
+#: Marks of the features that a word gives to the token after it and to the one before it.
+BEFORE, AFTER = "<", ">"
+
 def _sketch(toks: list[str]) -> int:
     """Smallest hash of three words in a row: near copies share it, so that a copied text counts once."""
     return min((crc32(" ".join(toks[k : k + 3]).encode()) for k in range(max(1, len(toks) - 2))), default=0)
@@ -119,6 +122,9 @@ def _chains(tokens: list[str]) -> list[list[str]]:
     return [*out, cur] if cur else out
 
 
+_BREAK = np.array([[math.nan], [0.0], [0.0]])
+
+
 class Model:
     """Fitted weights by feature; ``tagger()`` gives a function from texts to their marginals."""
 
@@ -126,37 +132,47 @@ class Model:
         self.weights, self.bias, self.trans, self.calibration = weights, bias, trans, calibration
 
     def tagger(self):
-        known: dict[str, float] = {"\n": math.nan}
-        bias = self.bias
-        words = {k: x for k, x in self.weights.items() if not k.endswith("*")}.get
-        heads = [({k[:-1]: x for k, x in self.weights.items() if k.endswith("*") and len(k) == n + 1}.get, n) for n in PREFIXES]
-
-        def emission(word: str) -> float:
+        """A function from texts to ``(marginals, tokens)``; what it knows of words is bounded."""
+        most = 150_000
+        known: dict[str, int] = {"\n": 0}
+        held = [0]  # characters remembered
+        # of each word known: its own score, and what it adds to the token after and before it
+        table = np.zeros((3, most + 1))
+        table[0, 0] = math.nan
+        weigh = self.weights.get
+
+        def remember(word: str) -> int:
             w = word.lower()
-            x = bias + words(w, 0.0)
-            for get, n in heads:
-                if len(w) >= n:
-                    x += get(w[:n], 0.0)
-            if len(known) > 150_000:
+            k = len(known)
+            table[0, k] = self.bias + sum(weigh(x, 0.0) for x in _names(w))
+            table[1, k], table[2, k] = weigh(BEFORE + w, 0.0), weigh(AFTER + w, 0.0)
+            known[word] = k
+            held[0] += len(word)
+            return k
+
+        def look_up(toks: list[str]) -> np.ndarray:
+            if len(known) + len(toks) > most or held[0] > 8_000_000:
                 known.clear()
-                known["\n"] = math.nan
-            if len(word) < 40:
-                known[word] = x
-            return x
+                known["\n"] = held[0] = 0
+            ids = list(map(known.get, toks))
+            if None in ids:
+                ids = [known[w] if w in known else remember(w) for w in toks]
+            return table[:, ids]
 
         def tag(texts: list[str]) -> list[tuple[np.ndarray, list[str]]]:
             rows, all_tokens, lengths = [], [], []
             for text in texts:
                 toks = _TOKEN.findall(text)
-                x = list(map(known.get, toks))
-                if None in x:
-                    x = [emission(w) if s is None else s for s, w in zip(x, toks, strict=True)]
-                rows.append(np.array([math.nan, *x]))
                 all_tokens.append(toks)
-                lengths.append(len(x) + 1)
-            flat = np.concatenate(rows) if rows else np.empty(0)
+                lengths.append(len(toks) + 1)
+                rows += [_BREAK, *(look_up(toks[at : at + most // 2]) for at in range(0, len(toks), most // 2))]
+            x = np.concatenate(rows, axis=1) if rows else np.zeros((3, 0))
+            flat = x[0].copy()
             real = ~np.isnan(flat)
-            begins = np.flatnonzero(real & np.append(True, ~real[:-1]))
+            inner = np.flatnonzero(real[1:] & real[:-1]) + 1
+            flat[inner] += x[1, inner - 1]
+            flat[inner - 1] += x[2, inner]
+            begins = np.flatnonzero(real & np.append(True, ~real[:-1])) if len(flat) else np.empty(0, np.int64)
             starts = (np.cumsum(real) - 1)[begins]
             marginal = np.zeros(len(flat))
             if len(starts):
@@ -203,7 +219,6 @@ def fit(rows: list[tuple[str, int]], s: Settings, drawn: tuple[float, float] = (
     telling = {x for x, c in seen[1].items() if tells(c, seen[0][x])}
     if not telling:
         return flat
-    rng = np.random.default_rng(s.seed)
     verdict: dict[str, bool] = {}
     chains, tags = [], []
     for toks, y in zip(tokens, labels, strict=True):
@@ -214,15 +229,26 @@ def fit(rows: list[tuple[str, int]], s: Settings, drawn: tuple[float, float] = (
                     if w not in verdict:
                         verdict[w] = any(x in telling for x in _names(w))
                     marks[k] = verdict[w]
-            if any(marks) or rng.random() < s.clean_lines:
-                chains.append(chain)
-                tags.append(np.array(marks))
+            chains.append(chain)
+            tags.append(np.array(marks))
     index: dict[str, int] = {}
-    width = 1 + len(PREFIXES)
-    ids = np.zeros((sum(map(len, chains)), width), np.int64)
-    for k, w in enumerate(w for c in chains for w in c):
-        own = [index.setdefault(x, len(index) + 1) for x in _names(w)]  # weight 0 stays 0: no feature
-        ids[k, : len(own)] = own
+    width = 3 + len(PREFIXES)
+    ids = np.zeros((sum(map(len, chains)), width), np.int32)  # weight 0 stays 0: no feature
+    words: dict[str, list[int]] = {}
+    at = 0
+    for chain in chains:
+        rows = []
+        for w in chain:
+            if w not in words:
+                low = w.lower()
+                own = [index.setdefault(x, len(index) + 1) for x in _names(w)]
+                words[w] = [index.setdefault(BEFORE + low, len(index) + 1), index.setdefault(AFTER + low, len(index) + 1), *own, *[0] * (width - 2 - len(own))]
+            rows.append(words[w])
+        own = np.array(rows, np.int32)
+        ids[at : at + len(own), 2:] = own[:, 2:]
+        ids[at + 1 : at + len(own), 0] = own[:-1, 0]
+        ids[at : at + len(own) - 1, 1] = own[1:, 1]
+        at += len(own)
     gold = np.concatenate(tags).astype(float)
     sizes = np.array([len(c) for c in chains])
     starts = np.append(0, np.cumsum(sizes)[:-1])
@@ -246,7 +272,7 @@ def fit(rows: list[tuple[str, int]], s: Settings, drawn: tuple[float, float] = (
         dt = pairs - gold_pairs
         gt += dt * dt
         trans -= s.step * dt / np.sqrt(gt)
-    model = Model({x: float(w[k]) for x, k in index.items() if abs(w[k]) > 1e-4}, float(bias), trans, (0.0, 0.0, 0.0))
+    model = Model({x: float(w[k]) for x, k in index.items() if abs(w[k]) > 1e-3}, float(bias), trans, (0.0, 0.0, 0.0))
     tag = model.tagger()
     x = []
     for k in range(0, len(texts), 200):
@@ -292,8 +318,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, score, n_spans, spans)`` for every row of ``docs``.
 
     ``spans`` lists ``start:end`` in code points, comma-joined.  Null and empty
-    texts get the score of a text without toxic tokens; repeated rows and null
-    ids keep a row each; extra columns are ignored.
+    texts get the score of a text without toxic tokens; texts of any length are
+    scored whole; repeated rows and null ids keep a row each; extra columns are
+    ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

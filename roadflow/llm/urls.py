@@ -21,7 +21,9 @@ from .common import materialise
 #: Marks the label in a transaction; URL tokens hold no such character.
 BAD = "#bad"
 MIN_SUPPORT = 0.001
-MIN_CONFIDENCE = 0.5
+#: A rule's confidence, at least: this, or where bad labels are rarer this many times their share; and its log-likelihood ratio
+#: against that share (10.83 is one in a thousand of chi-squared with one degree of freedom).
+MIN_CONFIDENCE, MIN_LIFT, MIN_EVIDENCE = 0.5, 2.0, 10.83
 #: Labelled rows that a rule rests on, at least, whatever the share asks for.
 MIN_ROWS = 5
 #: Rules that are broadcast, at most; beyond it the index is joined by shuffle with salted pages.
@@ -61,20 +63,29 @@ def explicit(host_col: Column, path_col: Column, rules: Sequence[tuple[str, str]
     return rule, verdict
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float | None = None) -> DataFrame:
     """``(tokens, confidence, support)`` from ``labelled(tokens, bad)``: combinations of URL tokens that imply a bad label.
 
     ``support`` is the share of labelled rows with the tokens and a bad label.
+    Rules must reach ``min_confidence`` (without one ``MIN_CONFIDENCE``, or
+    ``MIN_LIFT`` times the share of bad rows where that is less) and differ from that share by more than chance.
     Rules that contain another kept rule's tokens decide nothing more and go;
     a rule may have any number of tokens.
     Empty where nothing is labelled.
     """
     baskets = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    n = labelled.count()
+    n, bad = labelled.agg(F.count("*"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0))).first()
     min_support = min(1.0, max(min_support, MIN_ROWS / n)) if n else 1.0
+    base = bad / n if n else 0.0
+    min_confidence = min(MIN_CONFIDENCE, MIN_LIFT * base) if min_confidence is None else min_confidence
     # A rule of n tokens comes from an itemset of n + 1; counting happens in FP-growth's trees.
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0] == BAD)
+    if 0 < base < 1:
+        hits = F.col("support") * n
+        misses = hits / F.col("confidence") - hits
+        other = F.when(F.col("confidence") < 1, misses * F.log((1 - F.col("confidence")) / (1 - base))).otherwise(0.0)
+        rules = rules.where(2 * (hits * F.log(F.col("confidence") / base) + other) >= MIN_EVIDENCE)
     rules = materialise(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-mined")
     inside = (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)
     # subsets of a rule share a token with it: an equality join on exploded tokens, not all pairs
@@ -83,7 +94,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     return rules.join(one.join(part, "t").where(inside).select("tokens").distinct(), "tokens", "left_anti")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = (), id_col: str = "page_id", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = (), id_col: str = "page_id", min_support: float = MIN_SUPPORT, min_confidence: float | None = None) -> DataFrame:
     """``(page_id, host, path, rule, verdict, confidence)`` for every row of ``pages``.
 
     ``labels(doc_id, quality)`` labels the pages of the same id; quality 0 is

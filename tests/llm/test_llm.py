@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -141,6 +142,26 @@ def test_url_rules_of_any_length(spark):
     assert {k for k, v in got.items() if v == "block"} == {k for k, q in labels if q == 0}
 
 
+def test_url_lift_rules_are_the_sql_twins(spark, tmp_path):
+    from roadflow.llm import sql
+
+    rng = random.Random(2)
+    rows, labels = [], []
+    for k in range(900):
+        shop = rng.random() < 0.2
+        rows.append((k, f"http://{rng.choice(['www', 'm'])}.{'pills' if shop else rng.choice(['news', 'wiki', 'blog'])}.example/{rng.choice(['a', 'b'])}/{k}"))
+        if k % 4:
+            labels.append((k, 0 if rng.random() < (0.45 if shop else 0.12) else 1, 0))
+    pages, lab = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = sorted((r.page_id, r.verdict, r.confidence) for r in urls.judge(pages, lab, queries.URL_RULES).collect())
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    con.register("labels", lab.toPandas())
+    want = sorted((r[0], r[4], r[5]) for r in con.sql(sql.oracle_sql()["op1_url_filters"]).fetchall())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+    assert {k for k, v, _ in got if v == "block"} >= {k for k, u in rows if "pills" in u} and len({v for _, v, _ in got}) == 2
+
+
 # -- 2 decontamination
 
 
@@ -164,6 +185,63 @@ def test_reparameterised_questions(spark):
     assert decontaminate.remove(d, bench).columns == d.columns
 
 
+def test_signs_short_items_and_codes(spark):
+    money = "the shop sells the red lamp for $9 and the blue lamp for 12 dollars to every guest"
+    bench = spark.createDataFrame([(1, money), (2, "capital of France"), (3, "Paris"), (4, "5 apples"), (5, "if you add 3 km and 4 km")], "item_id long, text string")
+    docs = [
+        "Intro. " + money.replace("$9", "9 dollars").replace("12 dollars", "$12") + ". End",
+        "Intro. " + money.replace("$9", "$30").replace("12 dollars", "7 dollars") + ". End",
+        "What is the capital of France please",
+        "What is the capital of Spain please",
+        "Paris",
+        "we saw Paris and 5 apples",
+        "$5$6$7 5 % km $ 8 km",
+        "so if you add 8 km and 9 km",
+    ]
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert got == {(0, 1): True, (1, 1): False, (2, 2): True, (4, 3): True, (7, 5): False}
+    rng = random.Random(0)
+    some = ["$", "€", "%", "5", "6.5", "km", "Miles", "feet", "Bob", "the", "USA", "a", ".", "\n", "°", "Anna"]
+    for t in docs + [" ".join(rng.choice(some) for _ in range(rng.randint(0, 9))) for _ in range(5000)]:
+        toks, _, heads = decontaminate.template(t)
+        codes, at = decontaminate.template_codes(t, {})
+        assert [decontaminate._code(x) for x in toks] == codes.tolist() and heads == at.tolist(), t
+
+
+def test_decontamination_is_brute_force(spark):
+    rng = random.Random(4)
+    few, names = WORDS[:6], ["Ada", "Bea", "Cid"]
+
+    def sentence(n):
+        return " ".join(rng.choice([*few, rng.choice(names), str(rng.randint(1, 3)), "km"]) for _ in range(n))
+
+    items = [sentence(rng.randint(3, 12)) for _ in range(12)]
+    docs = [sentence(rng.randint(0, 40)) for _ in range(40)] + [sentence(6) + ". " + rng.choice(items) + ". " + sentence(8) for _ in range(12)]
+    want = {}
+    for (i, item), (d, doc) in itertools.product(enumerate(items), enumerate(docs)):
+        sides = []
+        for text in (item, doc):
+            toks, vals, heads = decontaminate.template(text)
+            w = min(5, len(decontaminate.template(item)[0]))
+            rows = []
+            for kind in (0, 1):
+                t = ["<name>" if kind and k in heads else x for k, x in enumerate(toks)]
+                v = [toks[k] if kind and k in heads else x for k, x in enumerate(vals)]
+                rows += [(tuple(t[k : k + w]), tuple(toks[k : k + w]), k, "\x1f".join(x for x in v[k : k + w] if x is not None), kind) for k in range(len(toks) - w + 1) if not kind or t[k : k + w] != toks[k : k + w]]
+            sides.append((rows, len(toks)))
+        (a, n), (b, m) = sides
+        keys = sorted({x[1] for x in a})
+        met = {(keys.index(x[1]), x[2], y[2], max(x[4], y[4]), x[3], y[3]) for x in a for y in b if x[0] == y[0]}
+        if not keys or len({x[0] for x in met}) < 0.5 * len(keys):
+            continue
+        v = decontaminate._judge(sorted(met), 0.5 * len(keys), len({x[2] for x in a}))
+        if v and (v == 2 or n >= 5) and (n >= 3 or n == m):
+            want[d, i] = (len(keys), len({x[0] for x in met}), v == 2)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_matched, r.verbatim) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert len(want) > 10 and got == want
+
+
 def test_every_alignment_is_tried(spark):
     same = "the farmer counts 3 apples in the basket and then the farmer counts 5 apples in the basket before going home to rest"
     late = "we find that Maria walks 12 km in 3 hours and later on Maria also rests 12 minutes at home before she leaves"
@@ -214,6 +292,16 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert pii.find(frame(spark, [])).count() == 0
 
 
+def test_patterns_learn_secrets(spark):
+    hexes = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(12)]
+    texts = [f'set token = "{h}" now' for h in hexes] + [f"login password={h[:20]} ok" for h in hexes]
+    texts += ['set token = "Tr0ub4dor&3x" now', "login password=hunter2secret9 ok", "the code hunter2secret9 stands elsewhere", "no secret 1234567 here"]
+    texts += ["x" * 50 + f"{k} 77777{k} tail" for k in range(6)]
+    got = {r.doc_id: {t[s.start : s.end] for s in r.added if s.kind == "secret"} for t, r in zip(texts, sorted(pii.find(frame(spark, texts)).collect(), key=lambda r: r.doc_id), strict=True)}
+    assert all(got[k] == {h} for k, h in enumerate(hexes)) and all(got[12 + k] == {h[:20]} for k, h in enumerate(hexes))
+    assert got[24] == {"Tr0ub4dor&3x"} and got[25] == {"hunter2secret9"} and not any(got[k] for k in range(26, len(texts)))
+
+
 # -- 4 SimHash
 
 
@@ -305,8 +393,9 @@ def naive_cut(rows):
 
 
 @pytest.mark.parametrize("hot, few", [(50_000, 8_000_000), (3, 8_000_000), (50_000, 0)])
-def test_repeats_are_brute_force(spark, hot, few):
-    texts = corpus(4, 25) + ["ab" * 60, "ba" * 55 + "é" * 30, "z" * 49, "z" * 50, "z" * 120]
+def test_repeats_are_brute_force(spark, monkeypatch, hot, few):
+    monkeypatch.setattr(suffixes, "PIECE", 70)
+    texts = corpus(4, 25) + ["x" + "ab" * 900 + "y", "ab" * 400, "ab" * 60, "ba" * 55 + "é" * 30, "z" * 49, "z" * 50, "z" * 120]
     rows = list(enumerate(texts))
     random.Random(1).shuffle(rows)
     got = suffixes.dedup(frame(spark, [t for _, t in rows], [i for i, _ in rows]), hot, few).collect()
@@ -428,21 +517,27 @@ def test_encoder_is_the_tokenizer():
 # -- 8 language model
 
 
-def test_scores_are_brute_force(spark):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_are_brute_force(spark, order):
+    assert lm.ORDER == 3
     texts = corpus(6, 30)
-    got = {r.doc_id: r for r in lm.score(frame(spark, texts)).collect()}
+    got = {r.doc_id: r for r in lm.score(frame(spark, texts), order).collect()}
     words = [[w.lower() for w in re.findall(r"\w+", t or "")] for t in texts]
-    uni, bi = Counter(w for d in words for w in d), Counter(p for d in words for p in itertools.pairwise(d))
-    n = sum(uni.values())
+
+    def grams(d):
+        return Counter(tuple(d[k : k + n]) for n in range(1, order + 1) for k in range(len(d) - n + 1))
+
+    every = sum(map(grams, words), Counter())
+    n = sum(map(len, words))
     for i, d in enumerate(words):
-        ou, ob = Counter(d), Counter(itertools.pairwise(d))
+        own = grams(d)
         rest, total = max(1, n - len(d)), 0.0
         for k, w in enumerate(d):
-            c = uni[w] - ou[w]
+            c = every[(w,)] - own[(w,)]
             s = c / rest if c else 0.4 / rest
-            if k:
-                p = (d[k - 1], w)
-                s = (bi[p] - ob[p]) / (uni[p[0]] - ou[p[0]]) if bi[p] > ob[p] else 0.4 * s
+            for m in range(2, min(order, k + 1) + 1):
+                g = tuple(d[k - m + 1 : k + 1])
+                s = (every[g] - own[g]) / (every[g[:-1]] - own[g[:-1]]) if every[g] > own[g] else 0.4 * s
             total += math.log(s)
         assert got[i].n_words == len(d) and got[i].log_score == pytest.approx(total, abs=1e-9)
     assert got[0].mean_log_score is None
@@ -568,6 +663,37 @@ def test_toxic_fit_reads_whole_texts_and_keeps_class_shares(spark):
 # -- pipeline
 
 
+def test_line_dedup_with_clashing_names(spark):
+    line = "the same line of text stands in all of these documents"
+    docs = spark.createDataFrame([(1, line, "g", "k", 9, "w"), (2, line + "\nown words", "g", "k", 9, "w"), (None, line, "g", "k", 9, "w"), (3, None, None, None, None, None), (4, "", "", "", 0, "")], "doc_id long, text string, gone string, kept string, n_chars long, lines string")
+    got = {r.doc_id: r for r in lines.dedup(docs).collect()}
+    assert got[2].text == "own words" and got[2].n_chars == 9 and (got[2].gone, got[2].kept, got[2].lines) == ("g", "k", "w")
+    assert got[1].text == line and got[None].text == line and got[3].text is None and got[4].text == "" and len(got) == 5
+    long = spark.createDataFrame([(1, "\n".join(f"line number {k} of a long text" for k in range(20000))), (2, "\n".join(f"line number {k} of a long text" for k in range(0, 20000, 2)) + "\nnew")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup(long).collect()}[2] == "new"
+
+
+def test_pipeline_runs_on_odd_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = "\n".join(" ".join(f"w{a}x{b}" for b in range(40)) for a in range(700))
+    rows = [(1, long, "en", "a", 1), (1, long, "en", "a", 1), (2, None, None, None, None), (3, "", "en", "a", 0), (None, "some words here", "en", "a", 3), (4, "the quick brown fox jumps over the lazy dog near it", None, "a", 9), (5, "the quick brown fox jumps over the lazy dog near it now", "en", None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, some in (("full", rows), ("none", [])):
+        d = tmp_path / name
+        spark.createDataFrame(some, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(4, 1, 0), (5, None, None)] if some else [], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, "what is the sum of 3 km and 4 km then"), (None, None), (2, "")] if some else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        out = pipeline.run(spark, str(d)).collect()
+        if not some:
+            assert out == []
+            continue
+        assert {r.doc_id for r in out} == {None, 1, 2, 4} and sum(r.doc_id is None for r in out) == 1
+        bins = defaultdict(int)
+        for r in out:
+            bins[r.sequence_id] += r.length
+        assert max(bins.values()) <= 2048 and all(r.length >= 1 for r in out)
+
+
 def test_pipeline_stages_act(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "decontamination", "best_fit_packing"]
