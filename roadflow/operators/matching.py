@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BEARING_MIN_M, BEARING_SIGMA_DEG, BETA, DEDUP_M, EARTH_RADIUS_M, PATH_BREAK, RADIUS_MAX_M, RADIUS_MIN_M, RADIUS_SCALE, SIGMA_Z, TINY
 from ..functions import geo
+from ..sources.files import spill
 from . import network
 
 LOG_TINY = math.log(TINY)
@@ -140,7 +141,7 @@ def transitions(emitted: DataFrame, edges: DataFrame, beta: float = BETA) -> Dat
     b = e.select("vehicle_id", "step", F.col("rank").alias("j"), F.col("u").alias("dst"))
     pairs = a.join(b, ["vehicle_id", "step"])
     cutoff = beta * (-LOG_TINY - math.log(beta)) + 1.0
-    dist = network.sssp(e.select(F.col("v").alias("src")).distinct(), edges, cutoff=max(cutoff, 0.0))
+    dist = network.distances(pairs.select("src", "dst"), edges, cutoff=max(cutoff, 0.0))
     t = pairs.join(dist, ["src", "dst"], "left")
     return t.select("vehicle_id", "step", "i", "j", "dist", F.greatest(F.coalesce(log_transition(F.col("dist"), beta), F.lit(LOG_TINY)), F.lit(LOG_TINY)).alias("logp"))
 
@@ -205,8 +206,8 @@ def match(pings: DataFrame, edges: DataFrame, sigma: float = SIGMA_Z, beta: floa
     cands = candidates(kept, edges, F.col("radius"))
     e = emission(cands, sigma, use_bearing)
     two = F.max("step").over(Window.partitionBy("vehicle_id")) >= 1
-    e = e.withColumn("_two", two).where("_two").drop("_two")
-    t = transitions(e, edges, beta)
+    e = spill(e.withColumn("_two", two).where("_two").drop("_two"))  # read four times below
+    t = spill(transitions(e, edges, beta))
     breaks = path_breaks(t, PATH_BREAK if detect_breaks else 0.5 * TINY)
     chosen = decode(e, t, breaks)
     best = e.join(chosen, ["vehicle_id", "seq", "rank"]).select("vehicle_id", "seq", "u", "v", "k", "proj_lat", "proj_lon", "segment_id")

@@ -30,11 +30,6 @@ def bucket(highway: Column) -> Column:
     return lookup(CLASS_BUCKET, F.coalesce(highway, F.lit("unclassified")), "other")
 
 
-def clean_highway(tag: Column) -> Column:
-    """First entry of a tag; empty gives ``unclassified``."""
-    return F.coalesce(F.nullif(F.split(tag, ",")[0], F.lit("")), F.lit("unclassified"))
-
-
 def adjacency(edges: DataFrame) -> DataFrame:
     """``(u, v, k, nu, nv, nk)``: edges that share an end with another one."""
     e = edges.select("u", "v", "k")
@@ -92,18 +87,26 @@ class Network:
         for u, v, w in zip(e["u"], e["v"], e[weight], strict=True):
             self.out[self.index[int(u)]].append((self.index[int(v)], float(w)))
 
-    def from_source(self, source: int, cutoff: float = float("inf")) -> tuple[dict[int, float], dict[int, int]]:
-        """Distances and predecessors by node id; the lower predecessor id wins ties; empty for an unknown source."""
+    def from_source(self, source: int, cutoff: float = float("inf"), targets=None) -> tuple[dict[int, float], dict[int, int]]:
+        """Distances and predecessors by node id; the lower predecessor id wins ties; empty for an unknown source.
+
+        With ``targets`` the search ends when all of them are settled.
+        """
         if source not in self.index:
             return {}, {}
         s = self.index[source]
         dist, pred, done = {s: 0.0}, {}, set()
+        wanted = None if targets is None else {self.index[t] for t in targets if t in self.index}
         heap = [(0.0, s)]
         while heap:
             d, x = heapq.heappop(heap)
             if x in done:
                 continue
             done.add(x)
+            if wanted is not None:
+                wanted.discard(x)
+                if not wanted:
+                    break
             for y, w in self.out[x]:
                 nd = d + w
                 if nd <= cutoff and (y not in dist or nd < dist[y] or (nd == dist[y] and y not in done and x < pred.get(y, -1))):
@@ -136,6 +139,26 @@ def sssp(sources: DataFrame, edges: DataFrame, weight: str = "length_m", cutoff:
     return sources.select("src").distinct().mapInPandas(run, "src long, dst long, dist double")
 
 
+def distances(pairs: DataFrame, edges: DataFrame, weight: str = "length_m", cutoff: float = float("inf")) -> DataFrame:
+    """``(src, dst, dist)`` of the distinct ``pairs(src, dst)`` within ``cutoff`` of each other.
+
+    Each source is solved once and only until all its destinations are settled.
+    """
+    shared = shared_edges(edges, "u", "v", weight)
+
+    def run(parts):
+        net = Network(shared.value, weight)
+        for pdf in parts:
+            for s, ts in zip(pdf["src"], pdf["dsts"], strict=True):
+                d, _ = net.from_source(int(s), cutoff, set(map(int, ts)))
+                found = [(int(t), d[int(t)]) for t in ts if int(t) in d]
+                if found:
+                    yield pd.DataFrame({"src": np.int64(s), "dst": np.array([t for t, _ in found], np.int64), "dist": [x for _, x in found]})
+
+    wanted = pairs.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src").agg(F.collect_set("dst").alias("dsts"))  # bounded by the nodes
+    return wanted.mapInPandas(run, "src long, dst long, dist double")
+
+
 def route_turns(route: DataFrame, keys: list[str]) -> DataFrame:
     """Turns over 30 degrees between consecutive edges of ``route(keys, step, bearing)``."""
     w = Window.partitionBy(*keys).orderBy("step")

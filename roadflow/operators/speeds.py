@@ -74,6 +74,11 @@ def aggregate(obs: DataFrame) -> DataFrame:
     return obs.groupBy(*KEY).agg(F.expr("percentile(speed, 0.5, weight)").alias("speed"), F.sum("weight").cast("long").alias("n_obs"))
 
 
+def at_least(matched: DataFrame, n: int = 2) -> DataFrame:
+    """The pings of vehicles with at least ``n`` matches."""
+    return matched.withColumn("_m", F.count("u").over(Window.partitionBy("vehicle_id"))).where(F.col("_m") >= n).drop("_m")
+
+
 def time_of_day(speeds: DataFrame) -> DataFrame:
     """Median over dates for each segment and half hour of the day."""
     return speeds.groupBy(*EDGE, "bin").agg(F.percentile("speed", 0.5).alias("tod_speed"))
@@ -122,12 +127,17 @@ def propagate(observed: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFr
 def default_fill(known: DataFrame, edges: DataFrame) -> DataFrame:
     """``known`` plus the road-class default for every other segment in every active half hour."""
     bins = known.select("date", "bin").distinct()
-    # the result has a row a segment and active bin by definition; the network side is small
+    # the result has a row a segment and active half hour by definition: at most 48 a day, whatever the pings
     every = edges.select(*EDGE, "highway").join(F.broadcast(bins), F.lit(True))
     rest = every.join(known.select(*KEY), KEY, "left_anti")
     return known.unionByName(rest.select(*KEY, default_speed(F.col("highway")).alias("speed"), F.lit("default").alias("origin")))
 
 
+def complete(observed: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
+    """Phase B: observed speeds, ``hops`` rounds of estimates, then road-class defaults for the rest of every active half hour."""
+    return default_fill(spill(propagate(observed, edges, hops)), edges)
+
+
 def merge(existing: DataFrame, new_obs: DataFrame) -> DataFrame:
     """Existing speeds as one more observation (weight 1) beside the new ones; the weighted median of each key."""
     both = existing.select(*KEY, "speed", F.lit(1).alias("weight")).unionByName(new_obs.select(*KEY, "speed", "weight"))

@@ -57,9 +57,9 @@ def in_band(trips: DataFrame) -> DataFrame:
     return trips.where(F.col("duration_min").between(TRIP_MIN_S / 60.0, TRIP_MAX_S / 60.0))
 
 
-def gap_trips(pings: DataFrame, min_points: int = TRIP_MIN_POINTS) -> DataFrame:
+def gap_trips(pings: DataFrame, min_points: int = TRIP_MIN_POINTS, gap_s: int = TRIP_GAP_S) -> DataFrame:
     """Trips of all vehicles cut at long gaps alone."""
-    return _bounds(gap_runs(pings), min_points)
+    return _bounds(gap_runs(pings, gap_s), min_points)
 
 
 def segments(pings: DataFrame, min_points: int = TRIP_MIN_POINTS) -> DataFrame:
@@ -84,6 +84,19 @@ def prefix_samples(pings: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     return r.select("vehicle_id", "grp", "idx", F.col("a.lat").alias("source_lat"), F.col("a.lon").alias("source_lon"), F.col("a.ts").alias("source_time"), F.col("lat").alias("dest_lat"), F.col("lon").alias("dest_lon"), ((F.col("ts") - F.col("a.ts")) / 60.0).alias("duration_min"))
 
 
+def training_rows(pings: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """Whole trips and the shorter ones cut from them; ``idx`` is null for whole trips."""
+    columns = ["vehicle_id", "grp", "idx", "source_lat", "source_lon", "source_time", "dest_lat", "dest_lon", "duration_min"]
+    whole = segments(pings).withColumn("idx", F.lit(None).cast("int")).select(*columns)
+    return whole.unionByName(prefix_samples(pings, k, seed).withColumn("idx", F.col("idx").cast("int")).select(*columns))
+
+
+def hashed_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows that come first in an integer-hash order of ``key``: the same ones on every run."""
+    draw = F.pmod((F.col(key) * 7919 + seed) * 31, F.lit(1000003))
+    return rows.orderBy(draw, key).limit(n)
+
+
 def validation_pairs(pings: DataFrame, per_vehicle: int = 8, seed: int = 42, min_points: int = 20, min_m: float = 100.0) -> DataFrame:
     """Synthetic validation trips: interior start points in the first 90 % of a vehicle's pings, each with one later end within the duration band, picked by an integer hash."""
     w = Window.partitionBy("vehicle_id")

@@ -117,8 +117,7 @@ def trip_segments(s, d):
 
 @query
 def gap_trips(s, d):
-    thin = _pings(s, d).where("flag = 1")
-    return r6(trips.gap_trips(thin).select("vehicle_id", "first_seq", "last_seq", "n_points", "duration_min"), "duration_min")
+    return r6(trips.gap_trips(_pings(s, d), gap_s=80).select("vehicle_id", "first_seq", "last_seq", "n_points", "duration_min"), "duration_min")
 
 
 @query
@@ -220,6 +219,39 @@ def viterbi(s, d):
     return m.select("vehicle_id", "seq", "u", "v", "k", "segment_id")
 
 
+def _phase_a(s, d, points=C.MAX_POINTS):
+    """Speeds as observed through the hidden Markov model: the first ``points`` pings of a vehicle, matched twice at least."""
+    m = matching.match(trips.prefix(_pings(s, d), points), adapters.edges(s), sigma=20.0, beta=30.0)
+    return speeds.at_least(files.spill(m))
+
+
+@query
+def phase_a(s, d):
+    obs = speeds.observations(speeds.matched_pairs(_phase_a(s, d)), adapters.edges(s))
+    return r6(speeds.aggregate(obs), "speed")
+
+
+@query
+def phase_b(s, d):
+    return r6(speeds.complete(_stored_speeds(s, d), adapters.edges(s)), "speed")
+
+
+@query
+def vehicle_matching(s, d):
+    p = features.vehicle_pairs(_phase_a(s, d, C.MAX_POINTS_VEHICLE), adapters.edges(s))
+    return r6(features.vehicle_stats(p), "v_mean_speed_ms", "v_median_speed_ms", "v_p20_speed_ms", "v_p80_speed_ms", "v_total_km")
+
+
+@query
+def training_rows(s, d):
+    return r6(trips.training_rows(_pings(s, d)).select("vehicle_id", "grp", F.coalesce("idx", F.lit(-1)).alias("idx"), "source_time", "duration_min"), "duration_min")
+
+
+@query
+def seeded_sample(s, d):
+    return trips.hashed_sample(_pings(s, d).where("seq = 1").select("vehicle_id", "ts"), "vehicle_id", 20)
+
+
 @query
 def matched_pairs(s, d):
     p = speeds.matched_pairs(_matched(s, d))
@@ -293,7 +325,7 @@ def edge_travel_time(s, d):
 def calibrate(s, d):
     e = adapters.edges(s)
     m = speeds.matched_pairs(_matched(s, d)).select(F.col("v").alias("src"), F.col("n_u").alias("dst"))
-    dist = m.join(network.sssp(e.select(F.col("v").alias("src")), e), ["src", "dst"], "left")
+    dist = m.join(network.distances(m, e), ["src", "dst"], "left")
     return r6(matching.calibrate(_cands(s, d), dist), "sigma_z", "beta", "sigma_z_raw", "beta_raw", "candidate_median_m", "candidate_p90_m", "pair_median", digits=4)
 
 
@@ -394,7 +426,7 @@ def route_cost(s, d):
     e = adapters.edges(s).withColumn("speed", F.lit(None).cast("double"))
     w = speeds.travel_time(e).select("u", "v", "tt")
     t = _routable(s, d).select("vehicle_id", "grp", "src", "dst")
-    cost = network.sssp(t.select("src"), w, weight="tt")
+    cost = network.distances(t, w, weight="tt")
     return r6(t.join(cost, ["src", "dst"], "left").select("vehicle_id", "grp", "src", "dst", F.col("dist").alias("seconds")), "seconds")
 
 

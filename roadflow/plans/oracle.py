@@ -101,6 +101,10 @@ _CTES |= {
     "known1": "SELECT u, v, k, date, bin, speed, 1.5::DOUBLE AS boost FROM speeds UNION ALL SELECT u, v, k, date, bin, speed, 1.0::DOUBLE FROM hop1",
     "hop2": """SELECT n.u, n.v, n.k, s.date, s.bin, sum(n.w * s.boost * s.speed) / sum(n.w * s.boost) AS speed FROM near n JOIN known1 s ON n.nu = s.u AND n.nv = s.v AND n.nk = s.k
   WHERE NOT EXISTS (SELECT 1 FROM known1 x WHERE x.u = n.u AND x.v = n.v AND x.k = n.k AND x.date = s.date AND x.bin = s.bin) GROUP BY ALL""",
+    "known2": "SELECT * FROM known1 UNION ALL SELECT u, v, k, date, bin, speed, 1.0::DOUBLE FROM hop2",
+    "hop3": """SELECT n.u, n.v, n.k, s.date, s.bin, sum(n.w * s.boost * s.speed) / sum(n.w * s.boost) AS speed FROM near n JOIN known2 s ON n.nu = s.u AND n.nv = s.v AND n.nk = s.k
+  WHERE NOT EXISTS (SELECT 1 FROM known2 x WHERE x.u = n.u AND x.v = n.v AND x.k = n.k AND x.date = s.date AND x.bin = s.bin) GROUP BY ALL""",
+    "known3": "SELECT * FROM known2 UNION ALL SELECT u, v, k, date, bin, speed, 1.0::DOUBLE FROM hop3",
     "vpairs": f"SELECT m.*, e.highway, {_HOUR.format('m.ts')} AS hour FROM mvalid m LEFT JOIN edges e ON m.n_u = e.u AND m.n_v = e.v",
     "vstats": """SELECT vehicle_id, avg(speed_ms) AS v_mean_speed_ms, median(speed_ms) AS v_median_speed_ms, quantile_cont(speed_ms, 0.2) AS v_p20_speed_ms, quantile_cont(speed_ms, 0.8) AS v_p80_speed_ms, sum(dist_m) / 1000.0::DOUBLE AS v_total_km, count(*) AS n_pairs
   FROM vpairs GROUP BY vehicle_id HAVING count(*) >= 2""",
@@ -123,8 +127,37 @@ _CTES |= {
     "trans": """SELECT a.vehicle_id, b.step, a.rank AS i, b.rank AS j, greatest(CASE WHEN d.dist <= 30.0::DOUBLE * (-ln(1e-50::DOUBLE) - ln(30.0::DOUBLE)) + 1 THEN -d.dist / 30.0::DOUBLE - ln(30.0::DOUBLE) ELSE ln(1e-50::DOUBLE) END, ln(1e-50::DOUBLE)) AS logp
   FROM steps a JOIN steps b ON a.vehicle_id = b.vehicle_id AND b.step = a.step + 1 LEFT JOIN dist d ON a.v = d.src AND b.u = d.dst""",
 }
+_CTES |= {
+    "brk": """SELECT *, (sum(b) OVER (PARTITION BY vehicle_id ORDER BY step ROWS UNBOUNDED PRECEDING))::INT AS segment_id
+  FROM (SELECT vehicle_id, step, CASE WHEN max(logp) < ln(1e-8::DOUBLE) THEN 1 ELSE 0 END AS b FROM trans GROUP BY vehicle_id, step)""",
+    "lattice": "SELECT e.vehicle_id, e.seq, e.step, e.rank, e.u, e.v, e.k, e.proj_lat, e.proj_lon, e.logp, coalesce(b.b, 1) AS starts, coalesce(b.segment_id, 0) AS segment_id FROM emitted e LEFT JOIN brk b ON e.vehicle_id = b.vehicle_id AND e.step = b.step",
+    "vit": """SELECT vehicle_id, step, rank, logp AS score, NULL::INT AS prev FROM lattice WHERE starts = 1 UNION ALL
+  SELECT t.vehicle_id, t.step, t.j, max(r.score + t.logp) + any_value(l.logp), arg_max(t.i, (r.score + t.logp, -t.i)) FROM vit r JOIN trans t ON r.vehicle_id = t.vehicle_id AND t.step = r.step + 1 AND t.i = r.rank
+  JOIN lattice l ON l.vehicle_id = t.vehicle_id AND l.step = t.step AND l.rank = t.j AND l.starts = 0 GROUP BY t.vehicle_id, t.step, t.j""",
+    "back": """SELECT vehicle_id, step, rank, prev FROM (SELECT v.*, row_number() OVER (PARTITION BY v.vehicle_id, l.segment_id ORDER BY v.step DESC, v.score DESC, v.rank) AS r FROM vit v JOIN lattice l ON v.vehicle_id = l.vehicle_id AND v.step = l.step AND v.rank = l.rank) WHERE r = 1
+  UNION ALL SELECT v.vehicle_id, v.step, v.rank, v.prev FROM back b JOIN vit v ON b.vehicle_id = v.vehicle_id AND v.step = b.step - 1 AND v.rank = b.prev WHERE b.prev IS NOT NULL""",
+    "hmm": """SELECT p.*, l.u, l.v, l.k, l.proj_lat, l.proj_lon, l.segment_id FROM pings p LEFT JOIN
+  (SELECT x.* FROM back b JOIN lattice x ON b.vehicle_id = x.vehicle_id AND b.step = x.step AND b.rank = x.rank WHERE b.vehicle_id IN (SELECT vehicle_id FROM lattice WHERE step >= 1)) l ON p.vehicle_id = l.vehicle_id AND p.seq = l.seq""",
+}
 _NEEDS = {name: [n for n in _CTES if n != name and any(f"{kw} {n}" in body.replace("\n", " ").replace("(", " ( ") for kw in ("FROM", "JOIN", "from", "join"))] for name, body in _CTES.items()}
-_EXTRA = {"near_nodes": ["nodes"], "emitted": ["cands"], "hop1": ["near", "speeds"], "hop2": ["near", "known1"]}
+_EXTRA = {"near_nodes": ["nodes"], "emitted": ["cands"], "hop1": ["near", "speeds"], "hop2": ["near", "known1"], "known2": ["hop2"], "hop3": ["near", "known2"], "known3": ["hop3"]}
+
+
+def _hmm(sql: str) -> str:
+    """The same with candidates within the radius that adapts to the time since the last ping (no ping of the adapter is within 8 m of the one before)."""
+    dt = "abs(ts - lag(ts) OVER (PARTITION BY vehicle_id ORDER BY ts, seq))"
+    radius = f"CASE WHEN {dt} IS NULL THEN 200.0::DOUBLE ELSE least(350.0::DOUBLE, greatest(200.0::DOUBLE, 2 * 20.0::DOUBLE + 10.0::DOUBLE * greatest(1, {dt}))) END"
+    return sql.replace("FROM pings p JOIN edges e ON", f"FROM (SELECT *, {radius} AS radius FROM pings) p JOIN edges e ON").replace("dist_m <= 200)", "dist_m <= radius)").replace("WHERE dist_m <= 200", "WHERE dist_m <= radius")
+
+
+def _through_hmm(body: str, *names: str) -> str:
+    """A query over matches from the hidden Markov model, of vehicles with two at least."""
+    plain = _CTES["matched"]
+    _CTES["matched"], _NEEDS["matched"] = "SELECT * FROM hmm QUALIFY count(u) OVER (PARTITION BY vehicle_id) >= 2", ["hmm"]
+    try:
+        return _hmm(_sql(body, *names, sigma=20.0))
+    finally:
+        _CTES["matched"], _NEEDS["matched"] = plain, ["pings", "cands"]
 
 
 def _sql(body: str, *names: str, sigma: float = C.SIGMA_Z) -> str:
@@ -140,7 +173,7 @@ def _sql(body: str, *names: str, sigma: float = C.SIGMA_Z) -> str:
     for n in names:
         add(n)
     views = ",\n".join(f"{n} AS ({_CTES[n]})" for n in order)
-    return ("WITH RECURSIVE " if "hops" in order else "WITH ") + views.replace("SIGMA", f"{sigma}::DOUBLE") + "\n" + body
+    return ("WITH RECURSIVE " if {"hops", "vit"} & set(order) else "WITH ") + views.replace("SIGMA", f"{sigma}::DOUBLE") + "\n" + body
 
 
 _HOURS = ", ".join(r(f"coalesce(median(speed_ms) FILTER (hour = {h}), median(speed_ms))") + f" AS v_hour_speed_h{h:02d}" for h in range(24))
@@ -180,7 +213,7 @@ SQL: dict[str, str] = {
     "ping_prefix": _sql("SELECT vehicle_id, seq, ts, flag FROM (SELECT *, count(*) OVER (PARTITION BY vehicle_id) AS n, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts, seq) AS r FROM pings) WHERE n >= 4 AND r <= 50", "pings"),
     "trip_segments": _sql("SELECT vehicle_id, first_seq, last_seq, n_points, source_time, " + ", ".join(f"{r(c)} AS {c}" for c in ("source_lat", "source_lon", "dest_lat", "dest_lon", "duration_min")) + " FROM trips", "trips"),
     "gap_trips": _sql(
-        f"SELECT vehicle_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_points, {r('(max(ts) - min(ts)) / 60.0::DOUBLE')} AS duration_min FROM (SELECT *, sum(late) OVER (PARTITION BY vehicle_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY vehicle_id ORDER BY ts, seq) > 300 THEN 1 ELSE 0 END AS late FROM pings WHERE flag = 1)) GROUP BY vehicle_id, g HAVING count(*) >= 4",
+        f"SELECT vehicle_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_points, {r('(max(ts) - min(ts)) / 60.0::DOUBLE')} AS duration_min FROM (SELECT *, sum(late) OVER (PARTITION BY vehicle_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY vehicle_id ORDER BY ts, seq) > 80 THEN 1 ELSE 0 END AS late FROM pings)) GROUP BY vehicle_id, g HAVING count(*) >= 4",
         "pings",
     ),
     "prefix_samples": _sql(
@@ -217,6 +250,16 @@ SELECT vehicle_id, a::INT AS a, b::INT AS b, source_time, {r("(dest_time - sourc
     "sssp": _sql(f"SELECT src, dst, {r('dist')} AS dist FROM dist", "dist"),
     "transitions": _sql(f"SELECT vehicle_id, step, count(*) AS n, {r('max(logp)', 5)} AS best, {r('min(logp)', 5)} AS worst FROM trans GROUP BY vehicle_id, step", "trans"),
     "path_breaks": _sql("SELECT vehicle_id, step, b::INT AS breaks, (sum(b) OVER (PARTITION BY vehicle_id ORDER BY step ROWS UNBOUNDED PRECEDING))::INT AS segment_id FROM (SELECT vehicle_id, step, CASE WHEN max(logp) < ln(1e-8::DOUBLE) THEN 1 ELSE 0 END AS b FROM trans GROUP BY vehicle_id, step)", "trans"),
+    "viterbi": _hmm(_sql("SELECT vehicle_id, seq, u, v, k, segment_id FROM hmm", "hmm", sigma=20.0)),
+    "phase_a": _through_hmm(f"SELECT u, v, k, date, bin, {r('speed')} AS speed, n_obs FROM speeds", "speeds"),
+    "vehicle_matching": _through_hmm("SELECT vehicle_id, " + ", ".join(f"{r(c)} AS {c}" for c in ("v_mean_speed_ms", "v_median_speed_ms", "v_p20_speed_ms", "v_p80_speed_ms", "v_total_km")) + ", n_pairs FROM vstats", "vstats"),
+    "phase_b": _sql(
+        f"""SELECT e.u, e.v, e.k, b.date, b.bin, {r('coalesce(s.speed, ' + default_ms('e.highway') + ')')} AS speed, CASE WHEN s.speed IS NULL THEN 'default' WHEN s.boost > 1 THEN 'observed' ELSE 'propagated' END AS origin
+FROM edges e CROSS JOIN (SELECT DISTINCT date, bin FROM speeds) b LEFT JOIN known3 s ON e.u = s.u AND e.v = s.v AND e.k = s.k AND b.date = s.date AND b.bin = s.bin""",
+        "known3",
+    ),
+    "training_rows": "SELECT vehicle_id, grp, -1 AS idx, source_time, duration_min FROM (TRIPS) UNION ALL SELECT vehicle_id, grp, idx, source_time, duration_min FROM (SAMPLES)",
+    "seeded_sample": _sql("SELECT vehicle_id, ts FROM pings WHERE seq = 1 ORDER BY ((vehicle_id * 7919 + 42) * 31) % 1000003, vehicle_id LIMIT 20", "pings"),
     "matched_pairs": _sql("SELECT vehicle_id, seq, u, v, k, n_u, n_v, n_k FROM mpairs", "mpairs"),
     "capped_speeds": _sql("SELECT u, v, k, count(*) AS n, round(max(speed), 6) AS top_speed FROM obs GROUP BY u, v, k", "obs"),
     "edge_bin_speed": _sql(f"SELECT u, v, k, date, bin, {r('speed')} AS speed, n_obs FROM speeds", "speeds"),
@@ -326,3 +369,4 @@ SELECT a.o_orderkey, {r("least(120.0::DOUBLE, greatest(0.5::DOUBLE, t.value))")}
     "ping_scan": _sql(_SCAN, "pings"),
     "ping_union": _sql(_SCAN, "pings"),
 }
+SQL["training_rows"] = SQL["training_rows"].replace("TRIPS", SQL["trip_segments"].replace("SELECT vehicle_id, first_seq", "SELECT vehicle_id, grp, first_seq")).replace("SAMPLES", SQL["prefix_samples"])
