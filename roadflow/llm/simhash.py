@@ -173,12 +173,16 @@ def signatures(hashes: np.ndarray, similarity: float, levels: list[int]) -> tupl
     sets differ in at most k shingles, so at least m - k of its m parts agree.
     The k + 1 largest parts are posted (of equal ones those of larger hash): of
     the parts that agree the last in this order has at most k parts after it in
-    either set.  Large parts are rarely shared by chance.  The sketch holds a byte of each part, in order: those of similar sets agree in
-    m - k places at least.
+    either set.  Large parts are rarely shared by chance.  The sketch has a bit
+    for each value of some low hash bits: whether an odd number of shingles has
+    it.  Two sketches differ in no more bits than the sets differ in shingles.
     """
     if not len(hashes):
-        return np.empty(0, np.int64), b""
-    out, sketch, x = [], b"", _mixed(hashes)
+        return np.empty(0, np.int64), bytes(8)
+    out, x = [], _mixed(hashes)
+    bits = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    odd = np.bincount((_mixed(x) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    sketch = np.packbits(odd.astype(np.uint8)).tobytes()
     own = bisect_left(levels, len(hashes))
     for level in (own, own + 1):
         k, m = _parts(level, similarity, levels)
@@ -187,9 +191,6 @@ def signatures(hashes: np.ndarray, similarity: float, levels: list[int]) -> tupl
         part = part[order]
         starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         at, sums = part[starts], np.add.reduceat(_mixed(x[order]), starts)
-        brief = np.zeros(m, np.uint8)
-        brief[at] = (_mixed(sums) >> np.uint64(56)).astype(np.uint8)
-        sketch += brief.tobytes()
         size = np.append(starts[1:], len(part)) - starts
         if len(at) <= k:
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
@@ -199,51 +200,50 @@ def signatures(hashes: np.ndarray, similarity: float, levels: list[int]) -> tupl
     return np.concatenate(out).view(np.int64), sketch
 
 
-def may_be_similar(size: int, sketch: bytes, size2: int, sketch2: bytes, similarity: float, levels: list[int]) -> bool:
-    """False only for sets that are not similar: too few of their parts agree."""
-    if size > size2:
-        size, sketch, size2, sketch2 = size2, sketch2, size, sketch
-    a, b = bisect_left(levels, size), bisect_left(levels, size2)
-    if b > a + 1:
-        return False
-    k, m = _parts(b, similarity, levels)
-    skip = _parts(a, similarity, levels)[1] if b > a else 0
-    x, y = np.frombuffer(sketch, np.uint8, m, skip), np.frombuffer(sketch2, np.uint8, m)
-    return int(np.count_nonzero(x == y)) >= m - k
+def _folded(sketch: bytes, n: int) -> np.ndarray:
+    """The sketch for fewer hash bits, as ``n`` bytes in 64-bit words: its halves differ or agree bit by bit."""
+    x = np.frombuffer(sketch, np.uint64)
+    while 8 * len(x) > n:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float, levels: list[int]) -> DataFrame:
-    """The count filter: of the pairs of sets ``(u, v)`` those whose sketches agree often enough."""
+def _most(size, size2, similarity: float):
+    """The most shingles that similar sets of these sizes differ in."""
+    return (size + size2) * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def may_be_similar(size: int, sketch: bytes, size2: int, sketch2: bytes, similarity: float) -> bool:
+    """False only for sets that are not similar: their sketches differ in too many bits."""
+    n = min(len(sketch), len(sketch2))
+    return int(np.bitwise_count(_folded(sketch, n) ^ _folded(sketch2, n)).sum()) <= _most(size, size2, similarity)
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The count filter: of the pairs of sets ``(u, v)`` those whose sketches differ in few bits."""
     u = classes.select(F.col("key").alias("u"), F.col("size").alias("a"), F.col("sketch").alias("x"))
     v = classes.select(F.col("key").alias("v"), F.col("size").alias("b"), F.col("sketch").alias("y"))
 
     def run(batches):
         for b in batches:
-            fine = [may_be_similar(*row, similarity, levels) for row in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
+            fine = [may_be_similar(*row, similarity) for row in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(fine, pa.bool_()))
 
     return pairs.join(u, "u").join(v, "v").select("u", "v", "a", "x", "b", "y").transform(map_batches, run, "u long, v long")
 
 
-def _met(a: list[tuple], b: list[tuple] | None, post: int, similarity: float, levels: list[int]) -> Iterator[tuple[int, int]]:
+def _met(a: list[tuple], b: list[tuple] | None, post: int, similarity: float) -> Iterator[tuple[int, int]]:
     """Plausible pairs ``(u, v)`` among ``a``, or between ``a`` and ``b``, whose first common post is ``post``.
 
     A member is ``(key, size, comp, sketch, its posts in order)``.
     """
-    both = a if b is None else [*a, *b]
-    level = max(bisect_left(levels, x[1]) for x in both)
-    k, m = _parts(level, similarity, levels)
-
-    def part(x: tuple) -> np.ndarray:
-        own = bisect_left(levels, x[1])
-        return np.frombuffer(x[3], np.uint8, m, 0 if own == level else _parts(own, similarity, levels)[1])
-
+    n = min(len(x[3]) for x in (a if b is None else [*a, *b]))
     other = a if b is None else b
-    table = np.stack([part(x) for x in other])
+    table = np.stack([_folded(x[3], n) for x in other])
     size, comp = np.array([x[1] for x in other]), np.array([x[2] for x in other])
     posts = [set(x[4]) for x in other]
     for i, x in enumerate(a):
-        near = (table == part(x)).sum(axis=1) >= m - k
+        near = np.bitwise_count(table ^ _folded(x[3], n)).sum(axis=1, dtype=np.int64) <= _most(size, x[1], similarity)
         near &= (comp != x[2]) & (np.minimum(size, x[1]) >= (similarity - 1e-9) * np.maximum(size, x[1]))
         if b is None:
             near[: i + 1] = False
@@ -252,7 +252,7 @@ def _met(a: list[tuple], b: list[tuple] | None, post: int, similarity: float, le
                 yield min(x[0], other[j][0]), max(x[0], other[j][0])
 
 
-def _all_plausible(posts: DataFrame, classes: DataFrame, similarity: float, levels: list[int]) -> DataFrame:
+def _all_plausible(posts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """Plausible pairs ``(u, v)`` of the sets of each post that are not yet connected, each once, at its first common post.
 
     The sets of a post are dealt to blocks and pairs of blocks to tasks; only the pairs found leave a task.
@@ -269,7 +269,7 @@ def _all_plausible(posts: DataFrame, classes: DataFrame, similarity: float, leve
         def out(at, held):
             post, i, j = at
             a, b = [x[1:] for x in held if x[0] == i], [x[1:] for x in held if x[0] == j]
-            pairs = list(_met(a, None if i == j else b, post, similarity, levels)) if a and b else []
+            pairs = list(_met(a, None if i == j else b, post, similarity)) if a and b else []
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], names=["u", "v"])
 
@@ -378,9 +378,9 @@ def near_copies(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARIT
             pairs = pairs.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct()
             pairs = materialise(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "near-pairs")
             tried = pairs if tried is None else tried.unionByName(pairs)
-            likely = materialise(_plausible(pairs, classes, similarity, levels), "near-likely")
+            likely = materialise(_plausible(pairs, classes, similarity), "near-likely")
         else:
-            likely = _all_plausible(posts, classes, similarity, levels)
+            likely = _all_plausible(posts, classes, similarity)
             likely = materialise(likely if tried is None else likely.join(tried, ["u", "v"], "left_anti"), "near-likely")
         if likely.isEmpty():
             if last:
