@@ -111,31 +111,49 @@ _NUM_CODE, _UNIT_CODE, _NAME_CODE = (np.uint64(_code(x)) for x in (NUM, UNIT, NA
 
 
 def _kind(tok: str) -> int:
+    low = tok.lower()
+    if tok[0].isalpha():
+        c = xxhash.xxh64_intdigest(low, 11) & ~15 | _IS_WORD
+        if low in UNITS:
+            c |= _MAY_UNIT
+        return c | _MAY_NAME if low != tok and tok[0].isupper() and not tok.isupper() and len(tok) > 1 else c
     if tok in _END:
         return _IS_END
     if tok in _SIGN:
         return _IS_SIGN | (_MAY_UNIT if tok in _CURRENCY else 0)
-    if tok[0].isdigit():
-        return _IS_NUM
-    low = tok.lower()
-    name = tok[0].isupper() and not tok.isupper() and len(tok) > 1
-    return _code(low) | _IS_WORD | (_MAY_UNIT if low in UNITS else 0) | (_MAY_NAME if name else 0)
+    return _IS_NUM
 
 
 def template_codes(text: str | None, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the tokens of ``template`` and the places of words that may be names, without the values."""
-    toks = _TOKEN.findall(text or "")
+    found = _classify(_TOKEN.findall(text or ""), cache)
+    if found is None:
+        toks, _, heads = template(text)
+        return np.array([_code(t) for t in toks], np.uint64), np.array(heads, np.int64)
+    codes, keep, head = found
+    return codes[keep], np.flatnonzero(head[keep])
+
+
+def _classify(toks: list[str], cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """For each token its code, whether it is in the template and whether it may be a name; None where signs follow each other like "$5$6"."""
     if not toks:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)
+    if len(cache) > 300_000:
+        cache.clear()
     kinds = list(map(cache.get, toks))
-    if None in kinds:
-        if len(cache) > 300_000:
-            cache.clear()
-        for k, c in enumerate(kinds):
+    k = -1
+    try:
+        while True:
+            k = kinds.index(None, k + 1)
+            tok = toks[k]
+            c = cache.get(tok)
             if c is None:
-                kinds[k] = c = _kind(toks[k])
-                if len(toks[k]) < 40:
-                    cache[toks[k]] = c
+                c = _kind(tok)
+                if len(tok) < 40:
+                    cache[tok] = c
+            kinds[k] = c
+    except ValueError:
+        pass
     x = np.array(kinds, np.uint64)
     kind, unit, name = x & np.uint64(3), x & np.uint64(_MAY_UNIT) > 0, x & np.uint64(_MAY_NAME) > 0
     prev = np.append(np.uint64(_IS_END), kind[:-1])
@@ -144,8 +162,7 @@ def template_codes(text: str | None, cache: dict[str, int]) -> tuple[np.ndarray,
     after = sign & (prev == _IS_NUM)
     money = sign & unit
     if (money[2:] & money[:-2] & after[2:]).any():  # "$5$6": whose sign it is depends on what came before
-        toks, _, heads = template(text)
-        return np.array([_code(t) for t in toks], np.uint64), np.array(heads, np.int64)
+        return None
     taken = np.flatnonzero(money[:-1] & ~after[:-1] & (kind[1:] == _IS_NUM))
     free = np.ones(len(x), bool)
     free[taken + 1] = False  # such a number has its unit
@@ -163,7 +180,25 @@ def template_codes(text: str | None, cache: dict[str, int]) -> tuple[np.ndarray,
     out[taken], out[taken + 1] = _NUM_CODE, _UNIT_CODE  # the sign's place goes to the number
     keep = (kind >= _IS_NUM) | unit_sign
     keep[taken] = True
-    return out[keep], np.flatnonzero(head[keep])
+    return out, keep, head
+
+
+def _together(texts: list[str | None], cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``template_codes`` of several texts, one after the other: codes, whether each may be a name, and each text's first place (and the end)."""
+    toks, ends = [], [0]
+    for t in texts:
+        toks += _TOKEN.findall(t or "")
+        toks.append("\n")
+        ends.append(len(toks))
+    found = _classify(toks, cache)
+    if found is not None:
+        codes, keep, head = found
+        return codes[keep], head[keep], np.append(0, np.cumsum(keep))[ends]
+    parts = [template_codes(t, cache) for t in texts]
+    first = np.cumsum([0, *(len(c) for c, _ in parts)])
+    head = np.zeros(first[-1], bool)
+    head[np.concatenate([h + f for (_, h), f in zip(parts, first[:-1].tolist(), strict=True)])] = True
+    return np.concatenate([c for c, _ in parts]), head, first
 
 
 def window_hashes(tokens: list[str], width: int, cache: dict[str, int] | None = None) -> np.ndarray:
@@ -209,35 +244,45 @@ def _windows(df: DataFrame, id_col: str, text_col: str, width: int, block=None,
     def run(batches):
         keep = block.value if block is not None else None
         cache: dict[str, int] = {}
+
+        def add(rows, ids, texts) -> None:
+            codes, head, first = _together(texts, cache)
+            named = np.where(head, _NAME_CODE, codes)
+            doc = np.repeat(np.arange(len(texts)), np.diff(first))
+            hits: dict[int, list[tuple]] = {}
+            # without a block there is one text
+            for w in widths if keep is not None else (min(width, len(codes)),):
+                plain, other = _hashes(codes, w), _hashes(named, w)
+                if not len(plain):
+                    continue
+                inside = doc[: len(plain)] == doc[w - 1 :]
+                for kind, h in ((0, plain), (1, other)):
+                    fits = inside if kind == 0 else inside & (other != plain)
+                    if keep is not None:
+                        fits = fits & (keep[np.minimum(np.searchsorted(keep, h), len(keep) - 1)] == h)
+                    for k in np.flatnonzero(fits).tolist():
+                        hits.setdefault(int(doc[k]), []).append((w, kind, k, int(h[k]), int(plain[k])))
+            for d, found in hits.items():
+                toks, vals, heads = template(texts[d])  # the values are wanted of few texts only
+                as_name, start = set(heads), int(first[d])
+                for w, kind, k, h, key in found:
+                    slots = [toks[x] if kind and x in as_name else vals[x] for x in range(k - start, k - start + w)]
+                    row = (ids[d], h, k - start, "\x1f".join(v for v in slots if v is not None), key, kind, w, len(toks))
+                    for column, x in zip(rows, row, strict=True):
+                        column.append(x)
+
         for b in batches:
             rows: list[list] = [[] for _ in range(8)]
+            ids, texts, size = [], [], 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = t.as_py()
-                codes, heads = template_codes(text, cache)
-                found = []
-                for w in widths if keep is not None else (min(width, len(codes)),):
-                    plain = _hashes(codes, w)
-                    if not len(plain):
-                        continue
-                    found.append((w, plain, plain, np.arange(len(plain)), 0))
-                    if len(heads):
-                        named = codes.copy()
-                        named[heads] = _NAME_CODE
-                        other = _hashes(named, w)
-                        found.append((w, other, plain, np.flatnonzero(other != plain), 1))
-                if keep is not None:
-                    found = [(w, h, plain, at[keep[np.minimum(np.searchsorted(keep, h[at]), len(keep) - 1)] == h[at]], kind) for w, h, plain, at, kind in found]
-                if not any(len(x[3]) for x in found):
-                    continue
-                toks, vals, _ = template(text)  # the values are wanted of few texts only
-                as_names = [toks[k] if v is None else v for k, v in enumerate(vals)]
-                head = set(heads.tolist())
-                for w, h, plain, at, kind in found:
-                    for k in at.tolist():
-                        inside = range(k, k + w)
-                        slots = [as_names[x] if kind and x in head else vals[x] for x in inside]
-                        for column, x in zip(rows, (i, int(h[k]), k, "\x1f".join(v for v in slots if v is not None), int(plain[k]), kind, w, len(codes)), strict=True):
-                            column.append(x)
+                ids.append(i)
+                texts.append(t.as_py())
+                size += len(texts[-1] or "")
+                if keep is None or size > 150_000:
+                    add(rows, ids, texts)
+                    ids, texts, size = [], [], 0
+            if ids:
+                add(rows, ids, texts)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["id", "h", "at", "slots", "key", "named", "n", "total"])
 
