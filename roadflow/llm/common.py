@@ -80,6 +80,13 @@ def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None)
             _delete(spark, path)
     gc.collect()
     spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is out of use
+    shrink_executors(spark)
+
+
+def shrink_executors(spark: SparkSession) -> None:
+    """A full collection on the executors, a task a core: their heaps shrink, so that the Python workers of the next stage find room beside them."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("x")).agg(F.count("x")).collect()
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -90,6 +97,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def _keep_small() -> None:
+    """Large blocks that are freed go to the system at once; by default the allocators keep ever larger ones."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    except AttributeError:  # not glibc
+        pass
+
+
 def _give_back() -> None:
     """Hand freed memory back to the system: workers are reused by later tasks and stages."""
     gc.collect()
@@ -107,6 +125,7 @@ def map_batches(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[
         conf.set(_BYTES, str(BATCH_BYTES))
 
     def run(batches):
+        _keep_small()
         try:
             yield from f(batches)
         finally:
