@@ -78,7 +78,7 @@ def discard_since(spark: SparkSession, mark: int, keep: DataFrame | None = None)
     for path in _written[mark:]:
         if keep is None or path != getattr(keep, "_folder", None):
             _delete(spark, path)
-    gc.collect()
+    give_back()
     spark._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of what is out of use
     shrink_executors(spark)
 
@@ -97,7 +97,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def _keep_small() -> None:
+def keep_small() -> None:
     """Large blocks that are freed go to the system at once; by default the allocators keep ever larger ones."""
     pa.set_memory_pool(pa.system_memory_pool())
     try:
@@ -108,7 +108,7 @@ def _keep_small() -> None:
         pass
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Hand freed memory back to the system: workers are reused by later tasks and stages."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -125,11 +125,11 @@ def map_batches(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[
         conf.set(_BYTES, str(BATCH_BYTES))
 
     def run(batches):
-        _keep_small()
+        keep_small()
         try:
             yield from f(batches)
         finally:
-            _give_back()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

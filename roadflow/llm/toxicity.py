@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise
+from .common import give_back, keep_small, map_batches, materialise
 
 _TOKEN = re.compile(r"\w+|\n")
 PREFIXES = (4, 5, 6)
@@ -200,7 +200,8 @@ def fit(rows: list[tuple[str, int]], s: Settings, drawn: tuple[float, float] = (
     flat = Model({}, -60.0, np.zeros((2, 2)), (math.log(base / (1 - base)), 0.0, 0.0))
     if not 0 < n1 < len(labels):
         return flat
-    tokens = [_TOKEN.findall(t) for t in texts]
+    one: dict[str, str] = {}
+    tokens = [[one.setdefault(m[0], m[0]) for m in _TOKEN.finditer(t)] for t in texts]  # equal tokens are one string
     seen, size, met = (Counter(), Counter()), [0, 0], set()
     for toks, y in zip(tokens, labels, strict=True):
         if (key := (y, _sketch(toks))) not in met:
@@ -233,7 +234,7 @@ def fit(rows: list[tuple[str, int]], s: Settings, drawn: tuple[float, float] = (
             tags.append(np.array(marks))
     index: dict[str, int] = {}
     width = 3 + len(PREFIXES)
-    ids = np.zeros((sum(map(len, chains)), width), np.int32)  # weight 0 stays 0: no feature
+    ids = np.zeros((width, sum(map(len, chains))), np.int32)  # weight 0 stays 0: no feature
     words: dict[str, list[int]] = {}
     at = 0
     for chain in chains:
@@ -245,9 +246,9 @@ def fit(rows: list[tuple[str, int]], s: Settings, drawn: tuple[float, float] = (
                 words[w] = [index.setdefault(BEFORE + low, len(index) + 1), index.setdefault(AFTER + low, len(index) + 1), *own, *[0] * (width - 2 - len(own))]
             rows.append(words[w])
         own = np.array(rows, np.int32)
-        ids[at : at + len(own), 2:] = own[:, 2:]
-        ids[at + 1 : at + len(own), 0] = own[:-1, 0]
-        ids[at : at + len(own) - 1, 1] = own[1:, 1]
+        ids[2:, at : at + len(own)] = own[:, 2:].T
+        ids[0, at + 1 : at + len(own)] = own[:-1, 0]
+        ids[1, at : at + len(own) - 1] = own[1:, 1]
         at += len(own)
     gold = np.concatenate(tags).astype(float)
     sizes = np.array([len(c) for c in chains])
@@ -261,9 +262,9 @@ def fit(rows: list[tuple[str, int]], s: Settings, drawn: tuple[float, float] = (
     w, bias, trans = np.zeros(len(index) + 1), 0.0, np.zeros((2, 2))
     gw, gb, gt = np.full(len(w), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     for _ in range(s.rounds):  # full-batch AdaGrad on the negative log-likelihood
-        m, pairs, _ = forward_backward(w[ids].sum(axis=1) + bias, starts, trans)
+        m, pairs, _ = forward_backward(sum(w[column] for column in ids) + bias, starts, trans)
         d = m - gold
-        g = np.bincount(ids.ravel(), np.repeat(d, width), minlength=len(w)) + s.l2 * len(gold) * w
+        g = sum(np.bincount(column, d, minlength=len(w)) for column in ids) + s.l2 * len(gold) * w
         g[0] = 0
         gw += g * g
         w -= s.step * g / np.sqrt(gw)
@@ -308,7 +309,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y").collect()  # 2 x sample rows
     rows = sorted((r[0], r[1], r[2]) for r in rows)
-    return fit([(t, y) for _, t, y in rows], settings, drawn)
+    keep_small()
+    model = fit([(t, y) for _, t, y in rows], settings, drawn)
+    give_back()
+    return model
 
 
 SCORED = "doc_id long, score double, n_spans long, spans string"
