@@ -40,18 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialise(df: DataFrame, name: str = "t") -> DataFrame:
+def materialise(df: DataFrame, name: str = "t", by: str | None = None, onto: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage durably: a lost executor costs no recomputation of
-    what came before, and the reread table has exact size statistics.
+    what came before, and the reread table has exact size statistics.  ``by``
+    names a column whose values get a folder each; ``onto`` is a materialised
+    table to whose rows these are added.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}" if onto is None else onto._folder
+    out = df.write if by is None else df.write.partitionBy(by)
+    out.mode("errorifexists" if onto is None else "append").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
-    _written.append(path)
+    if onto is None:
+        _written.append(path)
     return out
 
 

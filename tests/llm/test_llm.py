@@ -445,6 +445,39 @@ def test_blocks_find_all_links():
     assert union_find(300, [(i, 150 + j) for i, j in spans]) == every and all(hit[i, j] for i, j in spans)
 
 
+def _shuffled(spark):
+    """Bytes that the session's stages have written to shuffles so far."""
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_vectors_are_shuffled_once(spark, monkeypatch):
+    """Blocks without pruning are compared with each other, but not shipped for each pair of them."""
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    x = np.random.default_rng(3).normal(size=(3000, 64)).astype(np.float32)
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    before = _shuffled(spark)
+    assert embeddings.near_duplicates(d).where("n_links = 0 AND kept").count() == 3000
+    assert _shuffled(spark) - before < 3 * x.nbytes
+
+
+def test_repeated_vector_ids_and_parts(spark, monkeypatch):
+    """Rows of one id with other vectors have their own links; copies, floats and many parts give what brute force gives."""
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(80, 6)).astype(np.float32)
+    x = [*base, *(base[:40] + rng.normal(scale=0.2, size=(40, 6))).astype(np.float32), *np.repeat(base[7:8], 90, axis=0)]
+    ids = [*range(100, 100 + len(x) - 2), 100, 101]
+    rows = [(i, [float(c) for c in v]) for i, v in zip(ids, x, strict=True)] + [(None, [1.0] * 6), (7, [-0.0, 0.0, 0.0, 0.0, 0.0, 0.0])]
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    u = np.array(x, np.float64) / np.linalg.norm(np.array(x, np.float64), axis=1)[:, None]
+    hit = u @ u.T >= 0.9
+    comp = union_find(len(x), [p for p in zip(*np.nonzero(hit), strict=True) if p[0] != p[1]])
+    low = {c: min(ids[k] for k in range(len(x)) if comp[k] == c) for c in comp}
+    want = Counter((ids[k], int(hit[k].sum()) - 1, low[comp[k]], ids[k] == low[comp[k]]) for k in range(len(x)))
+    assert got == want + Counter([(None, 0, None, False), (7, 0, 7, True)])
+
+
 # -- 7 packing
 
 
