@@ -14,11 +14,14 @@ smallest member met there.  That emits a number of links linear in the members
 (never all pairs), each link is verified (shared bytes, then differing bits), and
 the links connect exactly what all qualifying pairs would connect.
 
-``keep_one_each`` asks for more than fingerprints can promise: all documents whose
-sets of word shingles have a Jaccard similarity of at least ``SIMILARITY``.  Two
-such sets differ in at most k shingles (k follows from their sizes), so of more
-than k parts that the shingles are dealt to by hash, one at least is the same in
-both.  Sets meet where they share such a part and are verified by their shingles.
+``keep_one_each`` asks for all documents whose sets of word shingles have a Jaccard
+similarity of at least ``SIMILARITY``.  The fingerprints of these sets go through
+the same index, and what it finds is verified by the shingles.  Two bits of 64
+cannot promise that similarity, so an exact search for the pairs that the index
+leaves follows: similar sets differ in at most k shingles (k follows from their
+sizes), so of more than k parts that the shingles are dealt to by hash, one at
+least is the same in both.  Sets not yet connected meet where they share such a
+part and are verified by their shingles too.
 """
 
 from __future__ import annotations
@@ -40,10 +43,13 @@ MIN_MATCHES = 8 - MAX_BITS
 #: Words of a shingle and least Jaccard similarity of near copies; MAX_BITS belongs to the fingerprints alone.
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Rounds that link the sets of a part to one of them, at most; and pairs of sets not yet connected, over the sets posted, up to which no more rounds are run.
+#: Rounds that link the sets of a part to one of them, at least one and at most; and pairs of sets not yet connected, over the sets posted, up to which
+#: no more rounds are run.  Nor are they if one leaves more than half of the pairs: sets that share parts are then mostly no near copies.
 LEADERS, FEW_PAIRS = 4, 4
 #: Sets of one part that are compared with each other in one task, at most twice as many.
 BLOCK = 1024
+#: Posts of a set, its smallest, by which a pair that an earlier post has told is known.
+FIRST = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,9 +69,12 @@ def fingerprint_bytes(text: str | None, n: int = 3, seed: int = 42) -> bytes:
         hashes = digest(b" ".join(words), seed)
     else:
         hashes = b"".join([digest(s, seed) for s in map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))])
-    total = len(hashes) // 8
-    rows = np.frombuffer(hashes, np.uint8).reshape(total, 8)
-    ones = np.zeros(64, np.int64)
+    return majority(np.frombuffer(hashes, np.uint8).reshape(-1, 8))
+
+
+def majority(rows: np.ndarray) -> bytes:
+    """The bits that are set in over half of the hashes, given as big-endian bytes."""
+    total, ones = len(rows), np.zeros(64, np.int64)
     for at in range(0, total, 65536):  # keeps the unpacked bits of a very long text small
         ones += np.unpackbits(rows[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > total).tobytes()
@@ -219,51 +228,86 @@ def may_be_similar(size: int, sketch: bytes, size2: int, sketch2: bytes, similar
     return int(np.bitwise_count(_folded(sketch, n) ^ _folded(sketch2, n)).sum()) <= _most(size, size2, similarity)
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The count filter: of the pairs of sets ``(u, v)`` those whose sketches differ in few bits."""
-    u = classes.select(F.col("key").alias("u"), F.col("size").alias("a"), F.col("sketch").alias("x"))
-    v = classes.select(F.col("key").alias("v"), F.col("size").alias("b"), F.col("sketch").alias("y"))
+def _alike(a: np.ndarray, x: list[bytes], b: np.ndarray, y: list[bytes], similarity: float) -> np.ndarray:
+    """``may_be_similar`` of many pairs of sets of sizes ``a`` and ``b`` with sketches ``x`` and ``y``."""
+    out = np.zeros(len(a), bool)
+    width = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)])
+    for n in np.unique(width).tolist():
+        at = np.flatnonzero(width == n)
+        p, q = (np.stack([_folded(z[k], n) for k in at]) for z in (x, y))
+        out[at] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= _most(a[at], b[at], similarity)
+    return out
+
+
+def _plausible(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The count filter: of the pairs of sets ``(u, v, a, x, b, y)`` those whose sketches differ in few bits, each once."""
 
     def run(batches):
         for b in batches:
-            fine = [may_be_similar(*row, similarity) for row in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)]
+            x, y = (b.column(k).to_pylist() for k in (3, 5))
+            fine = _alike(b.column(2).to_numpy(), x, b.column(4).to_numpy(), y, similarity)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(fine, pa.bool_()))
 
-    return pairs.join(u, "u").join(v, "v").select("u", "v", "a", "x", "b", "y").transform(map_batches, run, "u long, v long")
+    sizes = F.least("a", "b") >= F.lit(similarity - 1e-9) * F.greatest("a", "b")
+    pairs = pairs.where(sizes).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "a", "x", "b", "y")
+    return pairs.transform(map_batches, run, "u long, v long").distinct()
+
+
+def _by_fingerprint(classes: DataFrame, similarity: float) -> DataFrame:
+    """Plausible pairs ``(u, v)`` that the byte-position index finds: sets of one fingerprint, and of linked ones, by a set of each."""
+    one = F.struct("key", F.col("size").alias("size"), "sketch")
+    lead = materialise(classes.groupBy("fp").agg(F.min(one).alias("one")), "near-fp")
+    same = classes.join(lead, "fp").where("key <> one.key").select(F.col("key").alias("u"), "one.key", F.col("size").alias("a"), F.col("sketch").alias("x"), "one.size", "one.sketch")
+    ends = [lead.select(F.col("fp").alias(c), F.col("one").alias(f"{c}1")) for c in "uv"]
+    near = links(lead.select("fp")).join(ends[0], "u").join(ends[1], "v").select("u1.key", "v1.key", "u1.size", "u1.sketch", "v1.size", "v1.sketch")
+    return _plausible(same.toDF("u", "v", "a", "x", "b", "y").unionByName(near.toDF("u", "v", "a", "x", "b", "y")), similarity)
+
+
+def _led(rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Plausible pairs ``(u, v)`` of each set of a post and the one that comes first there in an order of the round's own."""
+    lead = F.min(F.struct(F.xxhash64("key", F.lit(k)), "key", "size", "comp", "sketch")).over(Window.partitionBy("post"))
+    pairs = rows.withColumn("lead", lead).where("comp <> lead.comp")
+    pairs = pairs.select(F.col("key").alias("u"), F.col("lead.key").alias("v"), F.col("size").alias("a"), F.col("sketch").alias("x"), F.col("lead.size").alias("b"), F.col("lead.sketch").alias("y"))
+    return _plausible(pairs, similarity)
 
 
 def _met(a: list[tuple], b: list[tuple] | None, post: int, similarity: float) -> Iterator[tuple[int, int]]:
-    """Plausible pairs ``(u, v)`` among ``a``, or between ``a`` and ``b``, whose first common post is ``post``.
+    """Plausible pairs ``(u, v)`` among ``a``, or between ``a`` and ``b``, but for those known to share a smaller post.
 
-    A member is ``(key, size, comp, sketch, its posts in order)``.
+    A member is ``(key, size, comp, sketch, its FIRST smallest posts)``.
     """
     n = min(len(x[3]) for x in (a if b is None else [*a, *b]))
     other = a if b is None else b
     table = np.stack([_folded(x[3], n) for x in other])
     size, comp = np.array([x[1] for x in other]), np.array([x[2] for x in other])
-    posts = [set(x[4]) for x in other]
-    for i, x in enumerate(a):
-        near = np.bitwise_count(table ^ _folded(x[3], n)).sum(axis=1, dtype=np.int64) <= _most(size, x[1], similarity)
-        near &= (comp != x[2]) & (np.minimum(size, x[1]) >= (similarity - 1e-9) * np.maximum(size, x[1]))
+    step = max(1, 4096 // len(other))
+    for at in range(0, len(a), step):
+        some = a[at : at + step]
+        own = np.stack([_folded(x[3], n) for x in some])
+        own_size, own_comp = np.array([x[1] for x in some])[:, None], np.array([x[2] for x in some])[:, None]
+        near = np.bitwise_count(own[:, None, :] ^ table[None, :, :]).sum(axis=2, dtype=np.int64) <= _most(size, own_size, similarity)
+        near &= (comp != own_comp) & (np.minimum(size, own_size) >= (similarity - 1e-9) * np.maximum(size, own_size))
         if b is None:
-            near[: i + 1] = False
-        for j in np.flatnonzero(near).tolist():
-            if min(posts[j].intersection(x[4])) == post:
-                yield min(x[0], other[j][0]), max(x[0], other[j][0])
+            near &= np.arange(len(other)) > at + np.arange(len(some))[:, None]
+        for i, j in zip(*(z.tolist() for z in np.nonzero(near)), strict=True):
+            if min(set(some[i][4]).intersection(other[j][4]), default=post) >= post:
+                yield min(some[i][0], other[j][0]), max(some[i][0], other[j][0])
 
 
-def _all_plausible(posts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Plausible pairs ``(u, v)`` of the sets of each post that are not yet connected, each once, at its first common post.
+def _all_plausible(rows: DataFrame, similarity: float) -> DataFrame:
+    """Plausible pairs ``(u, v)`` of the sets of each post ``(post, key, size, comp, sketch, first)`` that are not yet connected, each once.
 
     The sets of a post are dealt to blocks and pairs of blocks to tasks; only the pairs found leave a task.
     """
-    own = posts.groupBy("key").agg(F.array_sort(F.collect_list("post")).alias("own"))  # bounded by one document's parts
-    rows = posts.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy("post")) / BLOCK).cast("int"))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("post", "key", "comp", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), "b")
-    rows = rows.join(own, "key").join(classes.select("key", "size", "sketch"), "key")
-    n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("post", "i", "j", "b", "key", "size", "comp", "sketch", "own").repartition(n, "post", "i", "j").sortWithinPartitions("post", "i", "j")
+    by_post = Window.partitionBy("post")
+    rows = rows.withColumn("blocks", F.ceil(F.count("*").over(by_post) / BLOCK).cast("int"))
+    rows = rows.withColumn("low", F.min("comp").over(by_post)).withColumn("high", F.max("comp").over(by_post)).where("low < high")
+    small = rows.where("blocks = 1").select("post", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("b"), "key", "size", "comp", "sketch", "first")
+    # few posts have more than one block, and the rows of the others are where they have to be
+    large = rows.where("blocks > 1").withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("post", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j"), "b", "key", "size", "comp", "sketch", "first")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    large = large.repartition(n, "post", "i", "j")
 
     def run(batches):
         def out(at, held):
@@ -285,7 +329,8 @@ def _all_plausible(posts: DataFrame, classes: DataFrame, similarity: float) -> D
         if len(held) > 1:
             yield from out(at, held)
 
-    return rows.transform(map_batches, run, "u long, v long")
+    found = [x.sortWithinPartitions("post", "i", "j").transform(map_batches, run, "u long, v long") for x in (small, large)]
+    return found[0].unionByName(found[1]).distinct()
 
 
 def _verified(pairs: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
@@ -329,22 +374,21 @@ def near_copies(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARIT
                 signed = [signatures(h, similarity, levels) for h in sets]
                 ends = np.cumsum([0, *(len(x) for x, _ in signed)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x for x, _ in signed]), pa.int64()))
+                fps = np.frombuffer(b"".join(majority(_mixed(h).view(np.uint8).reshape(-1, 8)[:, ::-1]) for h in sets), ">i8").astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(keys), pa.array([len(h) for h in sets], pa.int64()), pa.array([x for _, x in signed], pa.binary()), lists],
-                    names=["doc_id", "key", "size", "sketch", "posts"],
+                    [part.column(0), pa.array(keys), pa.array([len(h) for h in sets], pa.int64()), pa.array([x for _, x in signed], pa.binary()), pa.array(fps), lists],
+                    names=["doc_id", "key", "size", "sketch", "fp", "posts"],
                 )
 
-    signed = materialise(src.transform(map_batches, post, "doc_id long, key long, size long, sketch binary, posts array<long>"), "near-signed")
+    signed = materialise(src.transform(map_batches, post, "doc_id long, key long, size long, sketch binary, fp long, posts array<long>"), "near-signed")
     sets = materialise(signed.select("doc_id", "key"), "near-sets")
     by_post = Window.partitionBy("post")
     posts = signed.select("key", F.explode("posts").alias("post"))
     posts = posts.withColumn("low", F.min("key").over(by_post)).withColumn("high", F.max("key").over(by_post)).where("low < high")
     shared = materialise(posts.select("key", "post").distinct(), "near-shared")
-    classes = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"))
+    classes = signed.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"), F.any_value("fp").alias("fp"))
     classes = materialise(classes, "near-classes")
     discard(signed)
-    posts = materialise(shared.join(classes.select("key", "size"), "key"), "near-posts")
-    discard(shared)
 
     def expand(batches):
         import xxhash
@@ -355,46 +399,42 @@ def near_copies(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARIT
             same = [xxhash.xxh3_64_intdigest(h) == k % (1 << 64) for h, k in zip(found, b.column(0).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["key", "hashes"]).filter(pa.array(same, pa.bool_()))
 
-    found = comps = tried = None
-    for k in range(LEADERS + 1):
-        old = posts
-        if comps is not None:
-            posts = posts.select("key", "size", "post").join(comps, posts.key == comps.node, "left").withColumn("comp", F.coalesce("component", "key")).drop("node", "component")
-        else:
-            posts = posts.withColumn("comp", F.col("key"))
-        posts = posts.withColumn("low", F.min("comp").over(by_post)).withColumn("high", F.max("comp").over(by_post)).where("low < high")
-        posts = materialise(posts.select("key", "size", "post", "comp"), "near-posts")
-        discard(old)
-        own = posts.groupBy("post", "comp").count().groupBy("post").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        rows, cross = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0))).first()
-        if not rows:
-            break
-        last = k == LEADERS or cross <= FEW_PAIRS * rows
-        if not last:
-            # for each set and round some other sets of its posts: of each post the one that comes first in an order of the round's own
-            lead = F.min(F.struct(F.xxhash64("key", F.lit(k)), "key", "size", "comp")).over(by_post)
-            pairs = posts.withColumn("lead", lead).select("key", "size", "comp", F.col("lead.key").alias("key2"), F.col("lead.size").alias("size2"), F.col("lead.comp").alias("comp2"))
-            pairs = pairs.where((F.col("comp") != F.col("comp2")) & (F.least("size", "size2") >= F.lit(similarity - 1e-9) * F.greatest("size", "size2")))
-            pairs = pairs.select(F.least("key", "key2").alias("u"), F.greatest("key", "key2").alias("v")).distinct()
-            pairs = materialise(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "near-pairs")
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            likely = materialise(_plausible(pairs, classes, similarity), "near-likely")
-        else:
-            likely = _all_plausible(posts, classes, similarity)
-            likely = materialise(likely if tried is None else likely.join(tried, ["u", "v"], "left_anti"), "near-likely")
+    found = comps = tried = before = None
+
+    def verify(pairs: DataFrame, name: str) -> None:
+        """Pairs not yet tried whose sets are similar join ``found``, and ``comps`` are its components."""
+        nonlocal found, comps, tried
+        likely = materialise(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), name)
+        tried = likely if tried is None else tried.unionByName(likely)
         if likely.isEmpty():
-            if last:
-                break
-            continue
+            return
         wanted = likely.select(F.explode(F.array("u", "v")).alias("key")).distinct().join(classes.select("key", "first_id"), "key")
         # a repeated doc_id may have other texts, which expand leaves out
         rows = src.join(wanted.select("key", F.col("first_id").alias("doc_id")), "doc_id").select("key", "text")
         hashes = materialise(rows.transform(map_batches, expand, "key long, hashes binary").dropDuplicates(["key"]), "near-hashes")
         linked = materialise(_verified(likely, hashes, similarity), "near-links")
-        discard(hashes, likely)
+        discard(hashes)
         if not linked.isEmpty():
             found = linked if found is None else found.unionByName(linked)
             comps = materialise(connected_components(found, "near-cc"), "near-cc")
+
+    first = shared.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("post")), 1, FIRST).alias("first"))  # gathers one document's parts
+    verify(_by_fingerprint(classes, similarity), "near-simhash")
+    for k in range(LEADERS + 1):
+        at = classes.select("key", "size", "sketch")
+        if comps is None:
+            at = at.withColumn("comp", F.col("key"))
+        else:
+            at = at.join(comps, at.key == comps.node, "left").select("key", "size", "sketch", F.coalesce("component", "key").alias("comp"))
+        rows = shared.join(at, "key")
+        own = rows.groupBy("post", "comp").count().groupBy("post").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
+        posted, cross = own.where("n * n > same").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0))).first()
+        if not posted:
+            break
+        last = k == LEADERS or k > 0 and (cross <= FEW_PAIRS * posted or cross > before / 2)
+        before = cross
+        verify(_all_plausible(rows.join(first, "key"), similarity) if last else _led(rows, k, similarity), "near-likely")
+        src.sparkSession._jvm.System.gc()  # the shuffle files of the round may go
         if last:
             break
     if comps is None:

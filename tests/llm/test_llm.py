@@ -370,6 +370,40 @@ def test_near_copies_are_brute_force(spark):
     assert simhash.keep_one_each(frame(spark, [])).count() == 0
 
 
+def test_stage_goes_through_the_fingerprints(spark, monkeypatch):
+    """The near-copy stage links by the byte-position index first, and its exact search adds the pairs that two bits miss."""
+    rng = random.Random(3)
+    base = [rng.choice(WORDS) + str(rng.randint(0, 4000)) for _ in range(900)]
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join([f"new{k}" if k % 100 == 50 else w for k, w in enumerate(base)]), "other words of a text that is alone"]
+    seen, index = [], simhash.links
+
+    def spy(fps):
+        seen.append(index(fps).count())
+        return index(fps)
+
+    monkeypatch.setattr(simhash, "links", spy)
+    assert [r.component_id for r in simhash.near_copies(frame(spark, texts)).orderBy("doc_id").collect()] == [0, 0, 0, 3]
+    assert seen
+    monkeypatch.setattr(simhash, "_led", lambda rows, k, similarity: rows.select(F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("v")).limit(0))
+    monkeypatch.setattr(simhash, "_all_plausible", lambda rows, similarity: rows.select(F.lit(0).cast("long").alias("u"), F.lit(0).cast("long").alias("v")).limit(0))
+    assert [r.component_id for r in simhash.near_copies(frame(spark, texts)).orderBy("doc_id").collect()][:2] == [0, 0]
+
+
+def test_near_copies_in_hot_posts(spark, monkeypatch):
+    """Posts of many blocks and groups that one leader does not connect: all that brute force connects."""
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    monkeypatch.setattr(simhash, "LEADERS", 1)
+    rng = random.Random(12)
+    shared = " ".join(rng.choice(WORDS) + str(rng.randint(0, 400)) for _ in range(60)).split()
+    texts = []
+    for g in range(6):
+        own = shared[:50] + [f"g{g}x{k}" for k in range(30)]
+        texts += [" ".join([*own[:-1], f"e{g}y{k}"]) for k in range(6)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    want = union_find(len(texts), [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, texts)).collect()} == dict(enumerate(want)) and len(set(want)) == 6
+
+
 # -- 5 repeated strings
 
 
