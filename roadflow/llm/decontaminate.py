@@ -101,104 +101,187 @@ def template(text: str | None) -> tuple[list[str], list[str | None], list[int]]:
     return out, values, heads
 
 
+#: Kinds of characters in the low bits of their class; the other bits: joins digits or letters, capital, breaks capitals, ``_odd``.
+_DIGIT, _LETTER, _ENDS, _SIGNS, _MONEY = 1, 2, 3, 4, 5
+_KIND, _IN_NUM, _IN_WORD, _UPPER, _LOWER, _ODD, _UNKNOWN = 7, 8, 16, 32, 64, 128, 255
+#: For each code point its class and the hash of its lower case, filled in when it first occurs.
+_CLASS = np.full(0x110000, _UNKNOWN, np.uint8)
+_MIX = np.zeros(0x110000, np.uint64)
+#: Letters of a token that is hashed with others; single ones beyond that are hashed by themselves.
+_LONG = 64
+#: Characters that are classified at once, about at most.
+_PIECE = 150_000
+#: A piece may end behind such a character, no token goes on over it.
+_CUT = re.compile(r"[^\w.,'’]")
+_MASK, _FACTOR, _LAST = (1 << 64) - 1, 0xD1342543DE82EF95, 0x9E3779B97F4A7C15
+
+
+def _mix(point: int) -> int:
+    return xxhash.xxh64_intdigest(point.to_bytes(4, "little"), 11)
+
+
 def _code(token: str) -> int:
-    return xxhash.xxh64_intdigest(token, 11) & ~15
+    """The hash of a template token: a polynomial of its code points' hashes."""
+    if len(token) > _LONG:
+        return xxhash.xxh64_intdigest(token, 11)
+    h = 0
+    for c in reversed(token):
+        h = (h * _FACTOR + _mix(ord(c))) & _MASK
+    h = (h ^ h >> 32) * _LAST & _MASK
+    return h ^ h >> 29
 
 
-#: What a token is, in the low bits of its code.
-_IS_END, _IS_SIGN, _IS_NUM, _IS_WORD, _MAY_UNIT, _MAY_NAME = 0, 1, 2, 3, 4, 8
 _NUM_CODE, _UNIT_CODE, _NAME_CODE = (np.uint64(_code(x)) for x in (NUM, UNIT, NAME))
+_UNIT_WORDS = np.array(sorted(_code(x) for x in UNITS), np.uint64)
+
+
+def _odd(char: str) -> bool:
+    """A letter that ``template`` reads as a digit, or whose lower case is longer or depends on its place."""
+    return char.isdigit() or len(char.lower()) > 1 or char == "Σ"
 
 
-def _kind(tok: str) -> int:
-    low = tok.lower()
-    if tok[0].isalpha():
-        c = xxhash.xxh64_intdigest(low, 11) & ~15 | _IS_WORD
-        if low in UNITS:
-            c |= _MAY_UNIT
-        return c | _MAY_NAME if low != tok and tok[0].isupper() and not tok.isupper() and len(tok) > 1 else c
-    if tok in _END:
-        return _IS_END
-    if tok in _SIGN:
-        return _IS_SIGN | (_MAY_UNIT if tok in _CURRENCY else 0)
-    return _IS_NUM
+def _learn(points: list[int]) -> None:
+    for p in points:
+        c = chr(p)
+        if c.isdecimal():
+            x = _DIGIT
+        elif c.isalnum():
+            x = _LETTER | (_ODD if _odd(c) else 0)
+        else:
+            x = _ENDS if c in _END else _MONEY if c in _CURRENCY else _SIGNS if c in _SIGN else 0
+        x |= _IN_NUM if c in ".," else _IN_WORD if c in "'’" else 0
+        x |= _UPPER if c.isupper() else _LOWER if c.islower() or c.istitle() else 0
+        _CLASS[p], _MIX[p] = x, _mix(ord(c.lower()[0]))
+
+
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the factor and of its inverse; those of a piece are kept."""
+    if n <= 2 * _PIECE:
+        if not _powers:
+            _powers[0] = _raised(2 * _PIECE)
+        up, down = _powers[0]
+        return up[:n], down[:n]
+    return _raised(n)
+
+
+def _raised(n: int) -> tuple[np.ndarray, np.ndarray]:
+    both = []
+    for x in (_FACTOR, pow(_FACTOR, -1, 1 << 64)):
+        p = np.full(n, x, np.uint64)
+        p[:1] = 1
+        both.append(np.cumprod(p))
+    return both[0], both[1]
+
+
+def _scan(text: str, cache: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """What ``_TOKEN`` finds: each token's place, kind, whether it is written like a name, and the code of its lower case."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.intp)
+    c = _CLASS[a]
+    unknown = c == _UNKNOWN
+    if unknown.any():
+        _learn(np.unique(a[unknown]).tolist())
+        c = _CLASS[a]
+    kind = c & _KIND
+    for joins, what in ((_IN_NUM, _DIGIT), (_IN_WORD, _LETTER)):
+        k = np.flatnonzero(c[1:-1] & joins) + 1
+        kind[k[(kind[k - 1] == what) & (kind[k + 1] == what)]] = what
+    new = kind >= _ENDS  # each is a token
+    new[:1] = True
+    new[1:] |= kind[1:] != kind[:-1]
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(a))[: len(start)]
+    token = kind[start] > 0
+    start, last = start[token], end[token] - 1
+    kind = kind[start]
+    lower = np.cumsum(c & _LOWER > 0, dtype=np.int32)
+    name = (c[start] & _UPPER > 0) & (lower[last] > lower[start])
+    up, down = _factors(len(a))
+    h = _MIX[a]
+    h *= up
+    before = h[start]
+    np.cumsum(h, out=h)
+    code = (h[last] - h[start] + before) * down[start]
+    code = (code ^ code >> np.uint64(32)) * np.uint64(_LAST)
+    code ^= code >> np.uint64(29)
+    alone = (last - start >= _LONG) & (kind == _LETTER)
+    alone[np.searchsorted(start, np.flatnonzero(c & _ODD), "right") - 1] = True
+    for k in np.flatnonzero(alone).tolist():
+        tok = text[start[k] : last[k] + 1]
+        if tok[0].isdigit():
+            kind[k] = _DIGIT
+            continue
+        found = cache.get(tok)
+        if found is None:
+            found = _code(tok.lower())
+            if len(cache) > 50_000:
+                cache.clear()
+            if len(tok) < 200:
+                cache[tok] = found
+        code[k] = found
+    return start, kind, name, code
+
+
+def _tokens(text: str, cache: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """``_scan`` of a text of any length, piece by piece."""
+    parts, at = [], 0
+    while at < len(text) or not parts:
+        cut = _CUT.search(text, at + _PIECE) if len(text) - at > 2 * _PIECE else None
+        to = cut.end() if cut else len(text)
+        start, *more = _scan(text[at:to], cache)
+        parts.append((start + at, *more))
+        at = to
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def template_codes(text: str | None, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the tokens of ``template`` and the places of words that may be names, without the values."""
-    found = _classify(_TOKEN.findall(text or ""), cache)
-    if found is None:
-        toks, _, heads = template(text)
-        return np.array([_code(t) for t in toks], np.uint64), np.array(heads, np.int64)
-    codes, keep, head = found
+    _, *found = _tokens(text or "", cache)
+    codes, keep, head = _classify(*found)
     return codes[keep], np.flatnonzero(head[keep])
 
 
-def _classify(toks: list[str], cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """For each token its code, whether it is in the template and whether it may be a name; None where signs follow each other like "$5$6"."""
-    if not toks:
-        return np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)
-    if len(cache) > 500_000:
-        cache.clear()
-    kinds = list(map(cache.get, toks))
-    k = -1
-    try:
-        while True:
-            k = kinds.index(None, k + 1)
-            tok = toks[k]
-            c = cache.get(tok)
-            if c is None:
-                c = _kind(tok)
-                if len(tok) < 40:
-                    cache[tok] = c
-            kinds[k] = c
-    except ValueError:
-        pass
-    x = np.array(kinds, np.uint64)
-    kind, unit, name = x & np.uint64(3), x & np.uint64(_MAY_UNIT) > 0, x & np.uint64(_MAY_NAME) > 0
-    prev = np.append(np.uint64(_IS_END), kind[:-1])
-    # a number takes a currency sign right before it, unless that is the unit of the number before
-    sign = kind == _IS_SIGN
-    after = sign & (prev == _IS_NUM)
-    money = sign & unit
-    if (money[2:] & money[:-2] & after[2:]).any():  # "$5$6": whose sign it is depends on what came before
-        return None
-    taken = np.flatnonzero(money[:-1] & ~after[:-1] & (kind[1:] == _IS_NUM))
-    free = np.ones(len(x), bool)
-    free[taken + 1] = False  # such a number has its unit
-    unit_sign = after & np.append(True, free[:-1])
+def _classify(kind: np.ndarray, name: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token its code, whether it is in the template and whether it may be a name."""
+    number, word, sign = kind == _DIGIT, kind == _LETTER, (kind == _SIGNS) | (kind == _MONEY)
+    behind = np.append(False, number)[:-1]  # behind a number
+    # a number takes a currency sign right before it, unless that is the unit of the number before; in "$5$6" and "5$6$7" all go as the first
+    money = np.flatnonzero(kind == _MONEY)
+    first = np.append(True, (np.diff(money) > 2) | ~behind[money[1:]])[: len(money)]
+    of_before = behind[money][np.flatnonzero(first)][np.cumsum(first) - 1]
+    taken = money[~of_before & np.append(number, False)[money + 1]]
+    free = np.ones(len(kind) + 1, bool)
+    free[taken + 2] = False  # the token after such a number: it has its unit
+    behind &= free[:-1]
     # words begin a sentence where the last token but signs ends one
     real = np.flatnonzero(~sign)
-    begins = np.zeros(len(x), bool)
-    begins[real] = np.append(True, kind[real] == _IS_END)[: len(real)]
-    is_unit = (kind == _IS_WORD) & unit & (prev == _IS_NUM) & np.append(True, free[:-1])
-    head = (kind == _IS_WORD) & name & ~is_unit & begins
-    out = x & ~np.uint64(15)
-    out[kind == _IS_NUM] = _NUM_CODE
+    begins = np.zeros(len(kind), bool)
+    begins[real] = np.append(True, kind[real] == _ENDS)[: len(real)]
+    is_unit = word & behind
+    k = np.flatnonzero(is_unit)
+    is_unit[k] = np.isin(code[k], _UNIT_WORDS)
+    unit_sign = sign & behind
+    name = word & name & ~is_unit
+    head = name & begins
+    out = code.copy()
+    out[number] = _NUM_CODE
     out[is_unit | unit_sign] = _UNIT_CODE
-    out[(kind == _IS_WORD) & name & ~is_unit & ~begins] = _NAME_CODE
+    out[name & ~begins] = _NAME_CODE
     out[taken], out[taken + 1] = _NUM_CODE, _UNIT_CODE  # the sign's place goes to the number
-    keep = (kind >= _IS_NUM) | unit_sign
+    keep = number | word | unit_sign
     keep[taken] = True
     return out, keep, head
 
 
 def _together(texts: list[str | None], cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``template_codes`` of several texts, one after the other: codes, whether each may be a name, and each text's first place (and the end)."""
-    toks, ends = [], [0]
-    for t in texts:
-        toks += _TOKEN.findall(t or "")
-        toks.append("\n")
-        ends.append(len(toks))
-    found = _classify(toks, cache)
-    if found is not None:
-        codes, keep, head = found
-        return codes[keep], head[keep], np.append(0, np.cumsum(keep))[ends]
-    parts = [template_codes(t, cache) for t in texts]
-    first = np.cumsum([0, *(len(c) for c, _ in parts)])
-    head = np.zeros(first[-1], bool)
-    head[np.concatenate([h + f for (_, h), f in zip(parts, first[:-1].tolist(), strict=True)])] = True
-    return np.concatenate([c for c, _ in parts]), head, first
+    texts = [t or "" for t in texts]
+    start, *found = _tokens("\n".join([*texts, ""]), cache)
+    codes, keep, head = _classify(*found)
+    ends = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    return codes[keep], head[keep], np.append(0, np.cumsum(keep))[ends]
 
 
 def window_hashes(tokens: list[str], width: int, cache: dict[str, int] | None = None) -> np.ndarray:
@@ -244,6 +327,10 @@ def _windows(df: DataFrame, id_col: str, text_col: str, width: int, block=None,
     def run(batches):
         keep = block.value if block is not None else None
         cache: dict[str, int] = {}
+        if keep is not None:
+            bits = min(24, (16 * len(keep)).bit_length())
+            shift, there = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+            there[keep.view(np.uint64) >> shift] = True
 
         def add(rows, ids, texts) -> None:
             codes, head, first = _together(texts, cache)
@@ -259,8 +346,11 @@ def _windows(df: DataFrame, id_col: str, text_col: str, width: int, block=None,
                 for kind, h in ((0, plain), (1, other)):
                     fits = inside if kind == 0 else inside & (other != plain)
                     if keep is not None:
-                        fits = fits & (keep[np.minimum(np.searchsorted(keep, h), len(keep) - 1)] == h)
-                    for k in np.flatnonzero(fits).tolist():
+                        fits = fits & there[h.view(np.uint64) >> shift]  # few windows are left to look up
+                    at = np.flatnonzero(fits)
+                    if keep is not None:
+                        at = at[keep[np.minimum(np.searchsorted(keep, h[at]), len(keep) - 1)] == h[at]]
+                    for k in at.tolist():
                         hits.setdefault(int(doc[k]), []).append((w, kind, k, int(h[k]), int(plain[k])))
             for d, found in hits.items():
                 toks, vals, heads = template(texts[d])  # the values are wanted of few texts only

@@ -208,6 +208,20 @@ def test_signs_short_items_and_codes(spark):
         assert [decontaminate._code(x) for x in toks] == codes.tolist() and heads == at.tolist(), t
 
 
+def test_codes_come_without_token_lists(monkeypatch):
+    rng = random.Random(7)
+    some = ["$", "€", "%", "5", "6.5", "1,2.", "km", "Km", "Miles", "Bob", "USA", "O'Neil", "d’", "a", "Anna", ".", "\n", "½", "²", "x²", "²a", "Ⅷ", "ΟΔΟΣ", "οδος", "İzmir", "Aǅ", "𝐀𝐛", "中文", "١٢", "_", "Ab" * 40, "b" * 65]
+    texts = ["".join(rng.choice(some) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    texts += ["5$6$7 $5$6$7$ 8 km", "½ km and 5 ½ km", None, "", " ".join(rng.choice(some) for _ in range(3000))]
+    want = [decontaminate.template(t) for t in texts]
+    monkeypatch.setattr(decontaminate, "_TOKEN", None)  # a list of all tokens is what took the time
+    for piece in (150_000, 50):
+        monkeypatch.setattr(decontaminate, "_PIECE", piece)
+        codes, heads, first = decontaminate._together(texts, {})
+        for (toks, _, at), a, b in zip(want, first[:-1].tolist(), first[1:].tolist(), strict=True):
+            assert [decontaminate._code(x) for x in toks] == codes[a:b].tolist() and at == np.flatnonzero(heads[a:b]).tolist(), toks
+
+
 def test_decontamination_is_brute_force(spark):
     rng = random.Random(4)
     few, names = WORDS[:6], ["Ada", "Bea", "Cid"]
